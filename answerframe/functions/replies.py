@@ -1,0 +1,37 @@
+"""Turning a model's reply into a logged attempt."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+from answerframe.constants import INCOMPLETE_REPLY, INVALID_REPLY
+from answerframe.functions.answers import validate_answer
+
+
+def strict_json(text: Column) -> Column:
+    """The one JSON value a text holds, as a variant; NULL when it is not exactly one.
+
+    Parsing the text inside brackets rejects what may follow a complete value, which the
+    plain parser lets through. An object with a repeated key is rejected too.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+
+
+def parse_reply(finish_reason: Column, refusal: Column, content: Column, q_type: Column, candidates: Column) -> Column:
+    """Struct of ``answer`` (variant), ``reasoning`` and ``error``; either the first two or the last is set."""
+    cut_short = (F.coalesce(finish_reason, F.lit("")) != "stop") | (F.coalesce(refusal, F.lit("")) != "")
+    parsed = strict_json(F.coalesce(content, F.lit("")))
+    answer = F.try_variant_get(parsed, "$.answer", "variant")
+    reasoning = F.try_variant_get(parsed, "$.reasoning", "variant")
+    usable = (
+        answer.isNotNull()
+        & validate_answer(answer, q_type, candidates).isNull()
+        & (F.coalesce(F.schema_of_variant(reasoning), F.lit("")) == "STRING")
+    )
+    error = F.when(cut_short, INCOMPLETE_REPLY).when(~F.coalesce(usable, F.lit(False)), INVALID_REPLY)
+    return F.struct(
+        F.when(error.isNull(), answer).alias("answer"),
+        F.when(error.isNull(), reasoning.cast("string")).alias("reasoning"),
+        error.alias("error"),
+    )
