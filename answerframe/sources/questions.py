@@ -39,14 +39,13 @@ def read_stories(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
     This layout splits at any line, so it is the one to use for large data.
     """
-    lines = (
+    return (
         spark.read.schema(
             "source_file STRING, dataset_name STRING, story_index BIGINT, first_question BIGINT, item VARIANT"
         )
         .option("mode", "FAILFAST")
         .json(paths)
     )
-    return lines.withColumn("has_data", F.lit(True))
 
 
 def _dataset_name(name: Column, file_path: Column) -> Column:
@@ -64,12 +63,13 @@ def flatten(stories: DataFrame, lenient: bool = False, on_error: str = "fail", v
     """
     if on_error not in ("fail", "reject"):
         raise ValueError("on_error must be 'fail' or 'reject'")
+    has_data = F.col("has_data") if "has_data" in stories.columns else F.lit(True)
     first = F.col("first_question") if "first_question" in stories.columns else F.lit(0)
     rows = stories.select(
         "source_file",
         "dataset_name",
         "story_index",
-        "has_data",
+        has_data.alias("has_data"),
         "item",
         F.coalesce(first, F.lit(0)).cast("bigint").alias("first_question"),
         F.try_variant_get("item", "$.story", "variant").alias("story"),
