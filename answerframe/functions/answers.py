@@ -18,19 +18,15 @@ def _texts(values) -> Column:
     return F.array(*[F.lit(str(value)) for value in values])
 
 
-def as_list(answer: Column) -> Column:
-    """Elements of a variant list; NULL for anything that is not a list."""
-    return F.try_variant_get(answer, "$", "array<variant>")
-
-
-def variant_type(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def answer_labels(answer: Column) -> Column:
+    """Items of a variant list as text; NULL for anything that is not a list."""
+    return F.try_variant_get(answer, "$", "array<string>")
 
 
 def string_candidates(candidates: Column) -> Column:
     """The candidates that are strings, out of an array of variants."""
     return F.transform(
-        F.filter(candidates, lambda c: variant_type(c) == "STRING"), lambda c: c.cast("string")
+        F.filter(candidates, lambda c: F.schema_of_variant(c) == "STRING"), lambda c: c.cast("string")
     )
 
 
@@ -74,23 +70,20 @@ def validate_labels(labels: Column, q_type: Column, candidates: Column) -> Colum
 def validate_answer(answer: Column, q_type: Column, candidates: Column) -> Column:
     """First broken rule of a variant answer, or NULL when it is valid.
 
-    ``candidates`` is an array of variants. Types are compared before any cast: a
-    numeric string or a boolean is not an integer label.
+    ``candidates`` is an array of variants. The type of the whole list is compared before
+    any cast: a numeric string, a boolean or a fraction is not an integer label. (A list
+    with nulls has the type of its other items; the nulls then fail as labels.)
     """
-    items = as_list(answer)
-    wanted = F.when(q_type.isin(*INTEGER_TASKS), F.lit("BIGINT")).otherwise(F.lit("STRING"))
-    typed = F.forall(items, lambda item: variant_type(item) == wanted)
-    labels = F.transform(items, lambda item: item.cast("string"))
-    return _first_failure(labels, typed, q_type, answer_choices(q_type, string_candidates(candidates)))
-
-
-def answer_labels(answer: Column) -> Column:
-    """Labels of a *valid* variant answer."""
-    return F.transform(as_list(answer), lambda item: item.cast("string"))
+    kind = F.schema_of_variant(answer)
+    typed = (kind == "ARRAY<VOID>") | (
+        kind == F.when(q_type.isin(*INTEGER_TASKS), "ARRAY<BIGINT>").otherwise("ARRAY<STRING>")
+    )
+    # Candidates matter to FB only, and only that branch looks at their types.
+    return _first_failure(answer_labels(answer), typed, q_type, answer_choices(q_type, string_candidates(candidates)))
 
 
 def _to_integer_label(item: Column) -> Column:
-    kind = variant_type(item)
+    kind = F.schema_of_variant(item)
     text = item.cast("string")
     number = (
         F.when(
@@ -115,13 +108,16 @@ def normalize_answer(answer: Column, q_type: Column) -> Column:
     (``"7"``, ``true`` and ``3.9`` give 7, 1 and 3; junk raises). SQL NULL (no answer key)
     stays NULL.
     """
-    items = F.coalesce(as_list(answer), F.array(answer))
-    labels = F.when(
-        q_type.isin(*INTEGER_TASKS), F.transform(items, _to_integer_label)
-    ).otherwise(F.transform(items, lambda item: item.cast("string")))
-    return F.when(answer.isNull(), F.lit(None).cast("array<string>")).when(
-        F.is_variant_null(answer), F.array().cast("array<string>")
-    ).otherwise(labels)
+    kind = F.schema_of_variant(answer)
+    items = F.coalesce(F.try_variant_get(answer, "$", "array<variant>"), F.array(answer))
+    integers = q_type.isin(*INTEGER_TASKS)
+    return (
+        F.when(answer.isNull(), F.lit(None).cast("array<string>"))
+        .when(F.is_variant_null(answer), F.array().cast("array<string>"))
+        .when(kind == F.when(integers, "ARRAY<BIGINT>").otherwise("ARRAY<STRING>"), answer_labels(answer))
+        .when(integers, F.transform(items, _to_integer_label))
+        .otherwise(F.transform(items, lambda item: item.cast("string")))
+    )
 
 
 def labels_json(labels: Column, q_type: Column) -> Column:

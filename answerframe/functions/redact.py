@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from answerframe.constants import BEARER_PATTERN, ERROR_FIELDS, ERROR_TEXT_LIMIT, KEY_PATTERN, REDACTED
+from answerframe.constants import BEARER_PATTERN, ERROR_TEXT_LIMIT, KEY_PATTERN, REDACTED
 
 
 def redact(text: Column, secrets: Sequence[str] = (), limit: int | None = ERROR_TEXT_LIMIT) -> Column:
@@ -21,23 +21,3 @@ def redact(text: Column, secrets: Sequence[str] = (), limit: int | None = ERROR_
     text = F.regexp_replace(text, "(?U)" + KEY_PATTERN, REDACTED)
     text = F.regexp_replace(text, "(?iU)" + BEARER_PATTERN, f"Bearer {REDACTED}")
     return text if limit is None else F.substring(text, 1, limit)
-
-
-def clean_error(status_code: Column, body: Column, secrets: Sequence[str] = ()) -> Column:
-    """What may be logged of a failed call: the status and four redacted fields.
-
-    ``body`` is a variant. Its ``error`` field is used in its place when there is one.
-    Fields that are neither text nor whole number nor boolean are dropped.
-    """
-    inner = F.try_variant_get(body, "$.error", "variant")
-    source = F.when(inner.isNotNull(), inner).otherwise(body)
-
-    def field(name: str) -> Column:
-        value = F.try_variant_get(source, f"$.{name}", "variant")
-        kind = F.schema_of_variant(value)
-        text = F.when(kind.isin("STRING", "BIGINT"), value.cast("string")).when(
-            kind == "BOOLEAN", F.initcap(value.cast("string"))
-        )
-        return redact(text, secrets).alias(name)
-
-    return F.struct(status_code.cast("int").alias("status_code"), *[field(name) for name in ERROR_FIELDS])

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from answerframe.constants import USAGE_FIELDS
+from answerframe.constants import ERROR_FIELDS, USAGE_FIELDS
+from answerframe.functions.redact import redact
 
 KEY = ("source_file", "key")
 
@@ -57,6 +58,36 @@ def attempt_summary(attempts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return attempts.groupBy(*by, outcome).agg(F.count("*").alias("attempts"))
 
 
+def clean_errors(
+    failures: DataFrame,
+    secrets: Sequence[str] = (),
+    status_code: str = "status_code",
+    body: str = "body",
+    name: str = "error_details",
+) -> DataFrame:
+    """Replace status and body (a variant) by what may be logged of a failed call.
+
+    That is the status and four redacted fields, taken from the body's ``error`` object
+    where there is one. Fields that are neither text nor whole number nor boolean are
+    dropped, as is everything else. The steps are columns of their own, so that each is
+    computed once per row.
+    """
+    inner = F.try_variant_get(body, "$.error", "variant")
+    rows = failures.withColumn("_inner", inner).withColumn("_source", F.coalesce("_inner", body))
+    rows = rows.withColumns({f"_{f}": F.try_variant_get("_source", f"$.{f}", "variant") for f in ERROR_FIELDS})
+    rows = rows.withColumns({f"_{f}_type": F.schema_of_variant(f"_{f}") for f in ERROR_FIELDS})
+
+    def text(field: str) -> Column:
+        value, kind = F.col(f"_{field}").cast("string"), F.col(f"_{field}_type")
+        return F.when(kind.isin("STRING", "BIGINT"), value).when(kind == "BOOLEAN", F.initcap(value))
+
+    details = F.struct(
+        F.col(status_code).cast("int").alias("status_code"),
+        *[redact(text(field), secrets).alias(field) for field in ERROR_FIELDS],
+    )
+    return rows.select(*[c for c in failures.columns if c not in (status_code, body)], details.alias(name))
+
+
 def config_drift(recorded: DataFrame, wanted: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """Fields in which two run manifests differ, one row per run and field.
 

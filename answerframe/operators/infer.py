@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from answerframe.constants import CO_LABELS, FB_LABELS, FR_LABELS, YN_LABELS
+from answerframe.session import written
 
 HEAD_SIZES = {"yn": len(YN_LABELS), "co": len(CO_LABELS), "fr": len(FR_LABELS), "fb": len(FB_LABELS)}
 
@@ -72,30 +75,37 @@ def masked_mean_pool_tokens(
     )
 
 
-def fit_heads(rows: DataFrame, features: str = "features", max_iter: int = 20, reg: float = 0.01) -> dict:
+def fit_heads(
+    rows: DataFrame, features: str = "features", max_iter: int = 20, reg: float = 0.01, parallelism: int = 4
+) -> dict:
     """Linear heads on given vectors: multinomial for YN and CO, one binary model per FR and FB label.
 
     ``rows``: ``q_type``, an array column ``features`` and the struct ``labels`` of
-    ``encode_labels``. FB labels are learnt from the questions whose mask is set. A label
-    with no rows gets no model.
+    ``encode_labels``. FB labels are learnt from the questions whose mask is set. A head
+    with no rows gets no model. The training set is written once; up to ``parallelism``
+    heads are fitted at a time, each as Spark jobs over the whole of its rows.
     """
-    data = rows.select("q_type", "labels", array_to_vector(F.col(features).cast("array<double>")).alias("features"))
+    data = written(
+        rows.select("q_type", "labels", F.col(features).cast("array<double>").alias("features")), "training"
+    ).withColumn("features", array_to_vector("features"))
+    tasks = {
+        "yn": (F.col("q_type") == "YN", F.col("labels.yn_label"), "multinomial"),
+        "co": (F.col("q_type") == "CO", F.col("labels.co_label"), "multinomial"),
+    }
+    for name, size in (("fr", len(FR_LABELS)), ("fb", len(FB_LABELS))):
+        for i in range(size):
+            open_rows = (F.col("q_type") == name.upper()) & (F.get(f"labels.{name}_mask", F.lit(i)) == 1.0)
+            tasks[f"{name}{i}"] = (open_rows, F.get(f"labels.{name}_label", F.lit(i)), "binomial")
 
-    def fit(selected: DataFrame, label, family: str):
-        train = selected.select("features", label.cast("double").alias("label"))
+    def fit(task):
+        chosen, label, family = task
+        train = data.filter(chosen).select("features", label.cast("double").alias("label"))
         if train.isEmpty():
             return None
         return LogisticRegression(family=family, maxIter=max_iter, regParam=reg).fit(train)
 
-    models = {
-        "yn": fit(data.filter("q_type = 'YN'"), F.col("labels.yn_label"), "multinomial"),
-        "co": fit(data.filter("q_type = 'CO'"), F.col("labels.co_label"), "multinomial"),
-    }
-    for name, size in (("fr", len(FR_LABELS)), ("fb", len(FB_LABELS))):
-        for i in range(size):
-            chosen = data.filter((F.col("q_type") == name.upper()) & (F.get(f"labels.{name}_mask", F.lit(i)) == 1.0))
-            models[f"{name}{i}"] = fit(chosen, F.get(f"labels.{name}_label", F.lit(i)), "binomial")
-    return models
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(zip(tasks, pool.map(inheritable_thread_target(fit), tasks.values())))
 
 
 def apply_heads(rows: DataFrame, models: dict, features: str = "features") -> DataFrame:

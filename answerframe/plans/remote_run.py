@@ -10,11 +10,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from answerframe.functions.answers import answer_labels
-from answerframe.functions.replies import parse_reply
 from answerframe.functions.requests import payload, request_body, response_schema
 from answerframe.operators.attempts import attach_predictions, pending, require_same_config
 from answerframe.operators.export import export_predictions
 from answerframe.operators.infer import answer_with
+from answerframe.operators.replies import parse_replies
 from answerframe.operators.score import run_report
 from answerframe.session import written
 from answerframe.sources.attempts import append_attempts, read_attempts
@@ -64,16 +64,6 @@ def build_requests(questions: DataFrame, config: RunConfig) -> DataFrame:
     return rows.withColumn("body", body)
 
 
-def parse_replies(replies: DataFrame) -> DataFrame:
-    """Attempts from raw replies that carry their question's ``q_type`` and ``candidates``."""
-    parsed = parse_reply(
-        F.col("finish_reason"), F.col("refusal"), F.col("content"), F.col("q_type"), F.col("candidates")
-    )
-    return replies.withColumn("_p", parsed).select(
-        "source_file", "key", "response_id", "response_model", "usage", "_p.answer", "_p.reasoning", "_p.error"
-    )
-
-
 def check_manifest(spark: SparkSession, config: RunConfig, run_folder: str) -> None:
     """Write the manifest of a new run; refuse to go on with another one."""
     path = f"{run_folder}/config"

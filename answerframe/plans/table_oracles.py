@@ -44,9 +44,8 @@ def _json_names(task: str, mask: str) -> str:
 
 
 _ORDINAL = (
-    "CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT),"
-    " CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT),"
-    " l_returnflag, l_linestatus, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)))), 1, 15) AS BIGINT)"
+    "(((l_partkey * 10 + l_linenumber) * 4000 + date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) % 4000) * 10000"
+    " + CAST(round(l_extendedprice * 100) AS BIGINT) % 10000)"
 )
 
 _GUESS = "(CASE WHEN l_quantity > 25 THEN l_suppkey ELSE l_suppkey + l_linenumber END)"

@@ -21,13 +21,14 @@ from answerframe.functions.answers import (
 from answerframe.functions.decode import decode_co, decode_fb, decode_fr, decode_yn
 from answerframe.functions.labels import encode_labels
 from answerframe.functions.metrics import answer_matches, set_jaccard
-from answerframe.functions.redact import clean_error, redact
+from answerframe.functions.redact import redact
 from answerframe.functions.requests import payload, response_schema
 from answerframe.functions.text import format_input, join_story_parts
 from answerframe.operators import relations as rules
 from answerframe.operators.attempts import (
     attach_predictions,
     attempt_summary,
+    clean_errors,
     config_drift,
     latest_success,
     pending,
@@ -51,6 +52,7 @@ from answerframe.operators.infer import (
     masked_mean_pool_tokens,
     score_with_model,
 )
+from answerframe.operators.replies import parse_replies
 from answerframe.operators.runs import best_epoch
 from answerframe.operators.score import (
     macro_score,
@@ -64,7 +66,7 @@ from answerframe.operators.score import (
 from answerframe.operators.select import prefix, with_position
 from answerframe.operators.split import split_overlap, story_split, stratified_split
 from answerframe.plans.encoder_run import predict
-from answerframe.plans.remote_run import REPLY_SCHEMA, RunConfig, build_requests, parse_replies
+from answerframe.plans.remote_run import REPLY_SCHEMA, RunConfig, build_requests
 from answerframe.session import new_folder, written
 from answerframe.sources import bridge
 from answerframe.sources.attempts import append_attempts, read_attempts
@@ -430,8 +432,9 @@ def cleaned_errors(spark: SparkSession, folder: str) -> DataFrame:
         " ',\"param\":', case when event_id % 2 = 0 then 'true' else '1.5' end, ',\"headers\":{\"a\":\"private\"}}')"
     )
     body = F.expr(f"parse_json(case when event_id % 3 = 0 then {inner} else concat('{{\"error\":', {inner}, '}}') end)")
-    details = clean_error(F.expr("400 + event_id % 100"), body)
-    return events.select("event_id", details.alias("d")).select("event_id", "d.status_code", "d.message", "d.code", "d.param", "d.type")
+    errors = events.select("event_id", F.expr("400 + event_id % 100").alias("status_code"), body.alias("body"))
+    details = clean_errors(errors).select("event_id", "error_details.*")
+    return details.select("event_id", "status_code", "message", "code", "param", "type")
 
 
 # --- labels, decoding, losses, pooling ------------------------------------------------------
