@@ -7,7 +7,7 @@ is an ``ARRAY<STRING>`` of labels: the task says which type a label stands for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from answerframe.constants import CO_LABELS, FR_DK, FR_LABELS, INTEGER_TASKS, TASKS, YN_LABELS
 
@@ -67,19 +67,31 @@ def validate_labels(labels: Column, q_type: Column, candidates: Column) -> Colum
     return _first_failure(labels, None, q_type, answer_choices(q_type, candidates))
 
 
-def validate_answer(answer: Column, q_type: Column, candidates: Column) -> Column:
-    """First broken rule of a variant answer, or NULL when it is valid.
+def variant_answer_typed(kind: Column, q_type: Column) -> Column:
+    """Whether a variant list's type, as ``schema_of_variant`` names it, is the task's.
 
-    ``candidates`` is an array of variants. The type of the whole list is compared before
-    any cast: a numeric string, a boolean or a fraction is not an integer label. (A list
-    with nulls has the type of its other items; the nulls then fail as labels.)
+    The type of the whole list is compared before any cast: a numeric string, a boolean or
+    a fraction is not an integer label. (A list with nulls has the type of its other items;
+    the nulls then fail as labels.)
     """
-    kind = F.schema_of_variant(answer)
-    typed = (kind == "ARRAY<VOID>") | (
-        kind == F.when(q_type.isin(*INTEGER_TASKS), "ARRAY<BIGINT>").otherwise("ARRAY<STRING>")
-    )
+    wanted = F.when(q_type.isin(*INTEGER_TASKS), "ARRAY<BIGINT>").otherwise("ARRAY<STRING>")
+    return (kind == "ARRAY<VOID>") | (kind == wanted)
+
+
+def check_answers(
+    rows: DataFrame, answer: str = "answer", labels: str = "labels", reason: str = "reason"
+) -> DataFrame:
+    """Add the labels of a variant answer and the first rule it breaks (NULL when valid).
+
+    Needs ``q_type`` and ``candidates`` (array of variants). Labels and type are columns of
+    their own, so that each is worked out once per row.
+    """
+    q_type = F.col("q_type")
+    typed = rows.withColumn(labels, answer_labels(F.col(answer))).withColumn("_kind", F.schema_of_variant(answer))
     # Candidates matter to FB only, and only that branch looks at their types.
-    return _first_failure(answer_labels(answer), typed, q_type, answer_choices(q_type, string_candidates(candidates)))
+    choices = answer_choices(q_type, string_candidates(F.col("candidates")))
+    broken = _first_failure(F.col(labels), variant_answer_typed(F.col("_kind"), q_type), q_type, choices)
+    return typed.withColumn(reason, broken).drop("_kind")
 
 
 def _to_integer_label(item: Column) -> Column:

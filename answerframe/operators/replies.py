@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from answerframe.constants import INCOMPLETE_REPLY, INVALID_REPLY
-from answerframe.functions.answers import validate_answer
+from answerframe.functions.answers import check_answers
 
 
 def with_strict_json(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -31,13 +31,14 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     fields = parsed.withColumn("_answer", F.try_variant_get("_value", "$.answer", "variant")).withColumn(
         "_reasoning", F.try_variant_get("_value", "$.reasoning", "variant")
     )
+    checked = check_answers(fields, "_answer", "_labels", "_reason")
     cut_short = (F.coalesce("finish_reason", F.lit("")) != "stop") | (F.coalesce("refusal", F.lit("")) != "")
     usable = (
         F.col("_answer").isNotNull()
         & F.coalesce(F.schema_of_variant("_reasoning") == "STRING", F.lit(False))
-        & validate_answer(F.col("_answer"), F.col("q_type"), F.col("candidates")).isNull()
+        & F.col("_reason").isNull()
     )
-    judged = fields.withColumn("error", F.when(cut_short, INCOMPLETE_REPLY).when(~usable, INVALID_REPLY))
+    judged = checked.withColumn("error", F.when(cut_short, INCOMPLETE_REPLY).when(~usable, INVALID_REPLY))
     good = F.col("error").isNull()
     return judged.select(
         "source_file",

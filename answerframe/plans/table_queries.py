@@ -13,9 +13,9 @@ from answerframe.constants import USAGE_FIELDS
 from answerframe.functions.answers import (
     answer_choices,
     candidate_texts,
+    check_answers,
     labels_json,
     normalize_answer,
-    validate_answer,
     validate_labels,
 )
 from answerframe.functions.decode import decode_co, decode_fb, decode_fr, decode_yn
@@ -325,8 +325,8 @@ def validated_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def validated_answers(spark: SparkSession, folder: str) -> DataFrame:
     replies = bridge.replies_from_events(spark, folder)
-    answer = F.try_variant_get(F.parse_json(F.get_json_object("content", "$.answer")), "$", "variant")
-    return replies.select("key", "q_type", validate_answer(answer, F.col("q_type"), F.col("candidates")).alias("reason"))
+    rows = replies.withColumn("answer", F.parse_json(F.get_json_object("content", "$.answer")))
+    return check_answers(rows).select("key", "q_type", "reason")
 
 
 def normalized_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -342,17 +342,17 @@ def normalized_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 def response_schemas(spark: SparkSession, folder: str) -> DataFrame:
     replies = bridge.replies_from_events(spark, folder)
-    schema = response_schema(F.col("q_type"), F.col("candidates"))
+    schema = F.parse_json(response_schema(F.col("q_type"), F.col("candidates")))
     answer = "$.json_schema.schema.properties.answer"
     return replies.select("key", "q_type", schema.alias("s")).select(
         "key",
         "q_type",
-        F.get_json_object("s", f"{answer}.items.type").alias("item_type"),
-        F.get_json_object("s", f"{answer}.items.enum").alias("enum"),
-        F.get_json_object("s", f"{answer}.minItems").cast("int").alias("min_items"),
-        F.get_json_object("s", f"{answer}.maxItems").cast("int").alias("max_items"),
-        F.get_json_object("s", "$.json_schema.strict").alias("strict"),
-        F.get_json_object("s", "$.json_schema.schema.additionalProperties").alias("extra"),
+        F.variant_get("s", f"{answer}.items.type", "string").alias("item_type"),
+        F.to_json(F.variant_get("s", f"{answer}.items.enum", "variant")).alias("enum"),
+        F.variant_get("s", f"{answer}.minItems", "int").alias("min_items"),
+        F.variant_get("s", f"{answer}.maxItems", "int").alias("max_items"),
+        F.variant_get("s", "$.json_schema.strict", "string").alias("strict"),
+        F.variant_get("s", "$.json_schema.schema.additionalProperties", "string").alias("extra"),
     )
 
 

@@ -8,18 +8,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Worth setting on any cluster. The JVM does not compile methods over 8,000 bytes, so a wide
+# projection fused into one larger method would be interpreted; with this limit Spark
+# evaluates such a stage in smaller methods.
+ADVISED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "answerframe") -> SparkSession:
     """A single-machine session. On a cluster, use the session the cluster gives."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    for name, value in ADVISED.items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:

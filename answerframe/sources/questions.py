@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from answerframe.constants import TASKS
-from answerframe.functions.answers import validate_answer
+from answerframe.functions.answers import check_answers
 from answerframe.functions.text import question_key
 
 _NO_ITEMS = "array<variant>"
@@ -95,36 +95,33 @@ def flatten(stories: DataFrame, lenient: bool = False, on_error: str = "fail", v
         field("candidate_answers").alias("candidate_answers"),
         field("answer").alias("answer"),
     )
-    candidates = F.coalesce(
-        F.try_variant_get("candidate_answers", "$", _NO_ITEMS), F.array().cast("array<variant>")
-    )
+    candidates = F.coalesce(F.try_variant_get("candidate_answers", "$", _NO_ITEMS), F.array().cast("array<variant>"))
+    rows = rows.withColumn("candidates", candidates)
     no_question = F.col("raw").isNull()
 
     def missing(name: str) -> Column:
         return F.lit(f"missing_field:{name}")
 
-    reason = F.lit(None).cast("string")
-    if not lenient:
+    if lenient:
+        unsupported = ~F.coalesce(F.col("q_type").isin(*TASKS), F.lit(False))
+        reason = F.when(~no_question & unsupported, "unsupported_task")
+    else:
         reason = (
             F.when(~F.col("has_data"), missing("data"))
             .when(F.col("item").isNotNull() & F.col("questions").isNull(), missing("questions"))
             .when(no_question, None)
             .when(F.col("q_type").isNull(), missing("q_type"))
-        )
-        unsupported = ~F.col("q_type").isin(*TASKS)
-        rest = (
-            F.when(F.col("story").isNull(), missing("story"))
+            .when(~F.col("q_type").isin(*TASKS), "unsupported_task")
+            .when(F.col("story").isNull(), missing("story"))
             .when(F.col("question").isNull(), missing("question"))
             .when(F.col("candidate_answers").isNull(), missing("candidate_answers"))
         )
-        reason = reason.when(unsupported, "unsupported_task").otherwise(rest)
         if validate_gold:
+            rows = check_answers(rows, "answer", "_labels", "_broken")
             has_gold = F.col("answer").isNotNull() & ~F.is_variant_null("answer")
-            broken = validate_answer(F.col("answer"), F.col("q_type"), candidates)
-            reason = F.coalesce(reason, F.when(has_gold & ~no_question, F.concat(F.lit("invalid_gold:"), broken)))
-    else:
-        reason = F.when(~no_question & ~F.coalesce(F.col("q_type").isin(*TASKS), F.lit(False)), "unsupported_task")
-
+            reason = reason.when(
+                has_gold & F.col("_broken").isNotNull(), F.concat(F.lit("invalid_gold:"), F.col("_broken"))
+            )
     rows = rows.withColumn("reject_reason", reason)
     # Stories without questions give no row, unless they are at fault.
     rows = rows.filter(~no_question | F.col("reject_reason").isNotNull())
@@ -147,7 +144,7 @@ def flatten(stories: DataFrame, lenient: bool = False, on_error: str = "fail", v
         "q_type",
         F.col("story"),
         F.coalesce(F.col("question").cast("string"), F.lit("")).alias("question"),
-        candidates.alias("candidates"),
+        "candidates",
         F.col("answer").isNotNull().alias("has_answer_key"),
         F.coalesce(F.is_variant_null("answer"), F.lit(False)).alias("answer_is_null"),
         "answer",
