@@ -105,7 +105,7 @@ def fit_heads(
         return LogisticRegression(family=family, maxIter=max_iter, regParam=reg).fit(train)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        return dict(zip(tasks, pool.map(inheritable_thread_target(fit), tasks.values())))
+        return dict(zip(tasks, pool.map(inheritable_thread_target(rows.sparkSession)(fit), tasks.values())))
 
 
 def apply_heads(rows: DataFrame, models: dict, features: str = "features") -> DataFrame:

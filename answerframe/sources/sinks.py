@@ -70,7 +70,8 @@ def write_documents(stories: DataFrame, path: str, partitions: int | None = None
     lines = document_lines(stories).withColumn(
         "document", F.regexp_replace(F.regexp_extract("source_file", r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")
     )
-    keys = ["source_file", "line_no"]
+    # The folder column leads, so that the writer finds its rows in order and sorts no more.
+    keys = ["document", "source_file", "line_no"]
     placed = lines.repartitionByRange(partitions, *keys) if partitions else lines.repartitionByRange(*keys)
     placed.sortWithinPartitions(*keys).select("document", "line").write.mode("overwrite").partitionBy(
         "document"
