@@ -31,8 +31,17 @@ def string_candidates(candidates: Column) -> Column:
 
 
 def candidate_texts(candidates: Column) -> Column:
-    """Every candidate as text, out of an array of variants."""
-    return F.coalesce(F.transform(candidates, lambda c: c.cast("string")), F.array().cast("array<string>"))
+    """Every candidate as text, out of an array of variants; null and booleans as Python writes them."""
+
+    def text(candidate: Column) -> Column:
+        plain = candidate.cast("string")
+        return (
+            F.when(plain.isNull(), "None")
+            .when(plain.isin("true", "false") & (F.schema_of_variant(candidate) == "BOOLEAN"), F.initcap(plain))
+            .otherwise(plain)
+        )
+
+    return F.coalesce(F.transform(candidates, text), F.array().cast("array<string>"))
 
 
 def answer_choices(q_type: Column, candidates: Column) -> Column:

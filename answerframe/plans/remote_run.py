@@ -65,7 +65,7 @@ def build_requests(questions: DataFrame, config: RunConfig) -> DataFrame:
 
 
 def check_manifest(spark: SparkSession, config: RunConfig, run_folder: str) -> None:
-    """Write the manifest of a new run; refuse to go on with another one."""
+    """Write the manifest of a new run; refuse to go on with another one, or with a log that has none."""
     path = f"{run_folder}/config"
     wanted = config.manifest(spark)
     try:
@@ -73,6 +73,8 @@ def check_manifest(spark: SparkSession, config: RunConfig, run_folder: str) -> N
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
+        if not read_attempts(spark, f"{run_folder}/responses").isEmpty():
+            raise ValueError("the run folder has attempts but no settings; use a new run folder") from problem
         wanted.coalesce(1).write.json(path)
         return
     require_same_config(recorded, wanted)

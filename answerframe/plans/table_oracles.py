@@ -84,6 +84,11 @@ def _scores(by: str, missing: str, source: str = "qa", digits: int | None = 6) -
       FROM {source} WHERE {keep} GROUP BY {lead}q_type"""
 
 
+_YES_NO = """yn AS (
+  SELECT d.source AS dataset_name, d.lang, v.value, length(d.text) % 10 <> 0 AS answered,
+    CASE WHEN v.question = 0 THEN length(d.text) > 500 ELSE NOT contains(d.text, chr(10)) END AS guess
+  FROM labels l JOIN documents d USING (doc_id), LATERAL (VALUES (0, l.quality), (1, l.toxic)) AS v(question, value))"""
+
 _CHAT_TASK = _TASK.format("(t.conv_id + t.turn)")
 _CHAT = f"""chat AS (
   SELECT t.conv_id AS story_index, t.turn - 1 AS question_index,
@@ -254,6 +259,12 @@ ORACLES: dict[str, str] = {
     "macro_score": f"""WITH {_QA}, per_set AS ({_scores('dataset_name', 'wrong', digits=None)})
         SELECT q_type, count(*) AS datasets, round(avg(accuracy), 6) AS accuracy, round(avg(exact_match), 6) AS exact_match,
           round(avg(jaccard), 6) AS jaccard FROM per_set GROUP BY q_type""",
+    "macro_by_source": f"""WITH {_YES_NO}, per_set AS (
+        SELECT dataset_name, avg(CASE WHEN answered AND guess = (value = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM yn GROUP BY dataset_name)
+      SELECT 'YN' AS q_type, count(*) AS datasets, round(avg(accuracy), 6) AS accuracy FROM per_set""",
+    "score_by_language": f"""WITH {_YES_NO} SELECT lang, 'YN' AS q_type, CAST(count(*) AS DOUBLE) AS count,
+        round(avg(CASE WHEN guess = (value = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM yn WHERE answered GROUP BY lang""",
+    "write_report": f"WITH {_QA} {_scores('source_file', 'wrong')}",
     "primary_score": f"""WITH {_QA}, per_set AS ({_scores('dataset_name', 'skip', digits=None)})
         SELECT dataset_name, round(avg(coalesce(accuracy, exact_match)), 6) AS primary_score FROM per_set GROUP BY dataset_name""",
     "run_report": f"""WITH {_CHAT}, {_LOG}, joined AS (

@@ -23,7 +23,7 @@ from answerframe.functions.labels import encode_labels
 from answerframe.functions.metrics import answer_matches, set_jaccard
 from answerframe.functions.redact import redact
 from answerframe.functions.requests import payload, response_schema
-from answerframe.functions.text import format_input, join_story_parts
+from answerframe.functions.text import format_input, join_story_parts, question_key
 from answerframe.operators import relations as rules
 from answerframe.operators.attempts import (
     attach_predictions,
@@ -72,7 +72,7 @@ from answerframe.sources import bridge
 from answerframe.sources.attempts import append_attempts, read_attempts
 from answerframe.sources.fingerprint import fingerprint
 from answerframe.sources.questions import flatten, labelled, read_stories
-from answerframe.sources.sinks import write_requests, write_stories
+from answerframe.sources.sinks import write_report, write_requests, write_stories
 from answerframe.streaming.log import read_latest, run_latest, run_tally, stream_attempts
 
 _CONFIG = RunConfig(
@@ -128,6 +128,26 @@ def macro_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(scores, "accuracy", "exact_match", "jaccard")
 
 
+def macro_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    scores = macro_score(bridge.questions_from_labels(spark, folder), missing="wrong")
+    return _rounded(scores.select("q_type", "datasets", "accuracy"), "accuracy")
+
+
+def score_by_language(spark: SparkSession, folder: str) -> DataFrame:
+    scores = score(bridge.questions_from_labels(spark, folder), missing="skip", by=["lang"])
+    return _rounded(scores.select("lang", "q_type", "count", "accuracy"), "accuracy")
+
+
+def reports_written(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics per file as a JSON report, read back."""
+    path = new_folder(spark, "report")
+    write_report(per_file_metrics(bridge.questions_from_lineitem(spark, folder), missing="wrong"), path)
+    metrics = "struct<count: bigint, answered: bigint, accuracy: double, exact_match: double, jaccard: double>"
+    back = spark.read.schema(f"source_file string, by_task map<string, {metrics}>").json(path)
+    rows = back.select("source_file", F.explode("by_task").alias("q_type", "m")).select("source_file", "q_type", "m.*")
+    return _rounded(rows, "accuracy", "exact_match", "jaccard")
+
+
 def primary_scores(spark: SparkSession, folder: str) -> DataFrame:
     scores = score(bridge.questions_from_lineitem(spark, folder), missing="skip", by=["dataset_name"])
     return _rounded(primary_score(scores, by=["dataset_name"]), "primary_score")
@@ -185,10 +205,17 @@ def profile_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return task_rollup(bridge.questions_from_lineitem(spark, folder))
 
 
+def _own_key(questions: DataFrame) -> DataFrame:
+    """Name questions by the id they carry, which holds where positions in a list may differ."""
+    return questions.withColumn(
+        "key", question_key(F.col("story_index"), F.variant_get("raw", "$.q_id", "bigint"))
+    )
+
+
 def labelled_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Questions with an answer key, from nested stories."""
     questions = flatten(bridge.story_items_from_conversations(spark, folder))
-    return labelled(questions).select("key", "q_type", "answer_is_null")
+    return _own_key(labelled(questions)).select("key", "q_type", "answer_is_null")
 
 
 def prefix_limit(spark: SparkSession, folder: str) -> DataFrame:
@@ -587,7 +614,7 @@ def _stories(spark: SparkSession, folder: str) -> DataFrame:
 def flattened_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Stories written as nested JSON, read back and flattened."""
     questions = flatten(_stories(spark, folder))
-    return questions.select(
+    return _own_key(questions).select(
         "key",
         "q_type",
         F.md5("question").alias("question_md5"),
@@ -608,19 +635,19 @@ def rejected_questions(spark: SparkSession, folder: str) -> DataFrame:
         " else to_json(item) end)"
     )
     rows = flatten(stories.withColumn("item", broken), on_error="reject")
-    return rows.select("key", "reject_reason")
+    return _own_key(rows).select("key", "reject_reason")
 
 
 def _exported(spark: SparkSession, folder: str, mode: str) -> DataFrame:
     stories = _stories(spark, folder)
     last = latest_success(bridge.attempts_from_events(spark, folder))
-    questions = flatten(stories).select("source_file", "story_index", "question_index", "key", "q_type")
+    questions = _own_key(flatten(stories)).select("source_file", "story_index", "question_index", "key")
     predictions = questions.join(last, ["source_file", "key"]).select(
         "source_file", "story_index", "question_index",
         F.parse_json(F.to_json("answer")).alias("prediction"),
     )
     exported = export_predictions(stories, predictions, mode=mode)
-    back = flatten(exported, validate_gold=False)
+    back = _own_key(flatten(exported, validate_gold=False))
     return back.select(
         "key", "q_type", F.md5("question").alias("question_md5"), F.md5(F.to_json("story")).alias("story_md5"),
         F.variant_get("raw", "$.q_id", "bigint").alias("q_id"), "has_answer_key", F.to_json("answer").alias("answer"),
@@ -713,6 +740,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pooled_score": pooled_score,
     "per_file_score": per_file_score,
     "macro_score": macro_scores,
+    "macro_by_source": macro_by_source,
+    "score_by_language": score_by_language,
+    "write_report": reports_written,
     "primary_score": primary_scores,
     "run_report": run_reports,
     "set_jaccard_rows": set_jaccard_rows,

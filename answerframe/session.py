@@ -48,8 +48,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses. Nothing is created yet."""
-    return f"{shared_folder(spark)}/answerframe/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses. Nothing is created yet.
+
+    All paths of an application are under one folder, which may go when the application has ended.
+    """
+    return f"{shared_folder(spark)}/answerframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -99,6 +99,35 @@ def questions_from_conversations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def questions_from_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Yes/No questions about documents: is it of quality, is it toxic. The prediction is a rule on the text.
+
+    One dataset per document source. Documents without a label have no question.
+    """
+    documents = table(spark, folder, "documents").select(
+        "doc_id", F.col("source").alias("dataset_name"), "lang", F.length("text").alias("length"), F.contains("text", F.lit("\n")).alias("lines")
+    )
+    asked = table(spark, folder, "labels").select(
+        "doc_id",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("question_index"), F.col("quality").alias("value")),
+                F.struct(F.lit(1).alias("question_index"), F.col("toxic").alias("value")),
+            )
+        ).alias("q"),
+    )
+    guess = F.when(F.col("q.question_index") == 0, F.col("length") > 500).otherwise(~F.col("lines"))
+    return asked.join(documents, "doc_id").select(
+        "dataset_name",
+        "lang",
+        F.col("doc_id").alias("story_index"),
+        F.col("q.question_index").alias("question_index"),
+        F.lit("YN").alias("q_type"),
+        F.array(F.when(F.col("q.value") == 1, "Yes").otherwise("No")).alias("gold"),
+        F.when(F.col("length") % 10 != 0, F.array(F.when(guess, "Yes").otherwise("No"))).alias("prediction"),
+    )
+
+
 def story_items_from_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """The same questions as nested stories, in the layout ``read_stories`` reads."""
     from answerframe.functions.answers import labels_json

@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from answerframe.functions.answers import candidate_texts
 from answerframe.functions.text import normalize_story, strip
 from answerframe.operators.export import export_predictions
 from answerframe.operators.split import story_split
@@ -93,7 +94,14 @@ def test_story_and_input_text(spark, sample, store):
     assert rows["0:0"].text == "Câu chuyện: Có một khối tên là A.\nCâu hỏi: Is there a circle in A?"
     assert rows["0:1"].text.endswith("\nCác lựa chọn: 0 | 1 | 2 | 3 | 4 | 5 | 6 | 7")
     assert rows["1:0"].text == "Câu chuyện: một chuỗi\nCâu hỏi: Hỏi?\nCác lựa chọn: a | b"
-    assert rows["1:0"].gold == ["1"] and rows["1:0"].labels.co_label == 1
+    assert rows["1:0"].candidates == ["a", "b"] and rows["1:0"].gold == ["1"] and rows["1:0"].labels.co_label == 1
+
+
+def test_candidate_texts(spark):
+    frame = spark.createDataFrame([('["a","true",true,null,3]',)], "t string").select(
+        candidate_texts(F.try_variant_get(F.parse_json("t"), "$", "array<variant>")).alias("c")
+    )
+    assert frame.first().c == ["a", "true", "True", "None", "3"]
 
 
 @pytest.mark.parametrize("text", ["", " a ", " a ", "\x1fa b\x85", "a​"])

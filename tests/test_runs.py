@@ -72,6 +72,16 @@ def test_resumed_run(spark, sample, tmp_path):
     }
 
 
+def test_log_without_settings_is_refused(spark, sample, tmp_path):
+    path, run = str(tmp_path / "data.json"), tmp_path / "run"
+    with open(path, "w") as out:
+        json.dump(sample, out)
+    (run / "responses").mkdir(parents=True)
+    (run / "responses" / "old.json").write_text('{"key":"0:0","error":"E"}\n')
+    with pytest.raises(ValueError, match="no settings"):
+        ask(read_questions(spark, path), RunConfig("u", "m", "p", "0" * 64), str(run), _call({}, str(tmp_path / "calls")))
+
+
 def test_failed_attempts_are_asked_again(spark, sample, tmp_path):
     path, run, calls = str(tmp_path / "data.json"), str(tmp_path / "run"), str(tmp_path / "calls")
     with open(path, "w") as out:
