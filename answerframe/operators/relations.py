@@ -20,8 +20,11 @@ def _lookup(pairs: dict, column: Column) -> Column:
     return F.element_at(F.create_map(*entries), column)
 
 
-def relation_symmetry(facts: DataFrame) -> DataFrame:
-    """Facts and their converses: left/right and above/below turn over, the rest are symmetric."""
+def with_converses(facts: DataFrame) -> DataFrame:
+    """Facts and their converses: left/right and above/below turn over, the rest are symmetric.
+
+    One pass and no shuffle; a fact may come up more than once.
+    """
     turned = F.struct(
         F.col("obj").alias("subj"), _lookup(INVERSE, F.col("rel")).alias("rel"), F.col("subj").alias("obj")
     )
@@ -29,10 +32,14 @@ def relation_symmetry(facts: DataFrame) -> DataFrame:
         facts.filter(F.col("rel").isin(*RELATIONS))
         .select("story_id", F.explode(F.array(F.struct("subj", "rel", "obj"), turned)).alias("f"))
         .select("story_id", "f.subj", "f.rel", "f.obj")
-        .distinct()
     )
 
 
+def relation_symmetry(facts: DataFrame) -> DataFrame:
+    """``with_converses``, each fact once."""
+    return with_converses(facts).distinct()
+
+
 def relation_closure(facts: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Transitive closure of the four directional relations, within story and relation.
 
@@ -102,7 +109,7 @@ def contradictions(facts: DataFrame) -> DataFrame:
 
 
 def answer_from_facts(asked: DataFrame, facts: DataFrame) -> DataFrame:
-    """Answers that given (closed) facts support.
+    """Answers that given (closed) facts support. Facts may be repeated.
 
     ``asked``: ``story_id, key, q_type, subj, rel, obj, candidates``. FR lists every
     relation of (subj, obj), or DK alone; YN asks whether ``subj rel obj`` holds, is
@@ -115,46 +122,54 @@ def answer_from_facts(asked: DataFrame, facts: DataFrame) -> DataFrame:
         .groupBy("story_id", F.col("subj").alias("probe"), "obj")
         .agg(F.bit_or(_lookup(bit_of, F.col("rel"))).alias("mask"))
     )
-    subjects = (
-        F.when(F.col("q_type").isin("FR", "YN"), F.array("subj"))
-        .when(F.col("q_type") == "CO", F.slice("candidates", 1, 2))
-        .otherwise(F.col("candidates"))
-    )
-    probes = asked.select("story_id", "key", "q_type", "rel", "obj", F.posexplode_outer(subjects).alias("pos", "probe"))
     wanted = _lookup(bit_of, F.col("rel"))
     against = F.coalesce(_lookup({r: bit_of[c] for r, c in CONTRADICTS.items()}, F.col("rel")), F.lit(0))
     mask = F.coalesce("mask", F.lit(0))
-    tried = probes.join(held, ["story_id", "probe", "obj"], "left").withColumn("holds", mask.bitwiseAND(wanted) != 0)
-    # A group is one question: as many rows as it has candidates.
-    per_question = tried.groupBy("story_id", "key", "q_type").agg(
-        F.bit_or(mask).alias("mask"),
-        F.bool_or("holds").alias("holds"),
-        F.bool_or(mask.bitwiseAND(against) != 0).alias("against"),
-        F.bool_or(F.col("holds") & (F.col("pos") == 0)).alias("first"),
-        F.bool_or(F.col("holds") & (F.col("pos") == 1)).alias("second"),
-        F.sort_array(F.collect_list(F.when(F.col("holds"), F.struct("pos", "probe")))).alias("chosen"),
-    )
+    where = ["story_id", "probe", "obj"]
+
+    # One pair to look up: a join, and nothing to gather.
     relations = F.array_compact(
-        F.array(*[F.when(F.getbit("mask", F.lit(i)) == 1, F.lit(str(i))) for i in range(len(RELATIONS))])
+        F.array(*[F.when(mask.bitwiseAND(1 << i) != 0, F.lit(str(i))) for i in range(len(RELATIONS))])
     )
-    answer = (
-        F.when(
-            F.col("q_type") == "FR",
-            F.when(F.col("mask") == 0, F.array(F.lit(str(FR_DK)))).otherwise(relations),
-        )
-        .when(
-            F.col("q_type") == "YN",
-            F.array(F.when(F.col("holds"), "Yes").when(F.col("against"), "No").otherwise("DK")),
-        )
-        .when(
-            F.col("q_type") == "CO",
-            F.array(
-                F.when(F.col("first") & F.col("second"), "2")
-                .when(F.col("first"), "0")
-                .when(F.col("second"), "1")
-                .otherwise("3")
-            ),
+    verdict = F.when(mask.bitwiseAND(wanted) != 0, "Yes").when(mask.bitwiseAND(against) != 0, "No").otherwise("DK")
+    about_pair = (
+        asked.filter(F.col("q_type").isin("FR", "YN"))
+        .withColumnRenamed("subj", "probe")
+        .join(held, where, "left")
+        .select(
+            "story_id",
+            "key",
+            "q_type",
+            F.when(F.col("q_type") == "YN", F.array(verdict))
+            .when(mask == 0, F.array(F.lit(str(FR_DK))))
+            .otherwise(relations)
+            .alias("answer"),
         )
+    )
+
+    # Several candidates: one row each, then as many rows to gather as a question has candidates.
+    subjects = F.when(F.col("q_type") == "CO", F.slice("candidates", 1, 2)).otherwise(F.col("candidates"))
+    holding = F.when(mask.bitwiseAND(wanted) != 0, F.struct("pos", "probe"))
+    chosen = (
+        asked.filter(F.col("q_type").isin("CO", "FB"))
+        .select("story_id", "key", "q_type", "rel", "obj", F.posexplode_outer(subjects).alias("pos", "probe"))
+        .join(held, where, "left")
+        .groupBy("story_id", "key", "q_type")
+        .agg(F.sort_array(F.collect_list(holding)).alias("chosen"))
+    )
+    places = F.transform("chosen", lambda c: c["pos"])
+    outcome = (
+        F.when(F.size("chosen") == 2, "2")
+        .when(F.array_contains(places, 0), "0")
+        .when(F.array_contains(places, 1), "1")
+        .otherwise("3")
+    )
+    about_candidates = chosen.select(
+        "story_id",
+        "key",
+        "q_type",
+        F.when(F.col("q_type") == "CO", F.array(outcome))
         .otherwise(F.transform("chosen", lambda c: c["probe"]))
+        .alias("answer"),
     )
-    return per_question.select("story_id", "key", "q_type", answer.alias("answer"))
+    return about_pair.unionByName(about_candidates)

@@ -423,8 +423,9 @@ ORACLES: dict[str, str] = {
         FROM present a JOIN present b ON b.story_id = a.story_id AND b.n > a.n JOIN orders o ON o.o_orderkey = a.story_id AND o.o_custkey % 7 + 1 = a.n""",
     "inherit_direction": """WITH holds AS (SELECT DISTINCT l_orderkey AS story_id, l_returnflag AS block, l_linenumber AS n FROM lineitem),
         asked AS (SELECT DISTINCT l_orderkey AS story_id, l_linenumber AS a, l_linenumber % 7 + 1 AS b FROM lineitem)
-        SELECT DISTINCT q.story_id, 'L' || q.a AS subj, CASE WHEN x.block = 'A' THEN 'left' ELSE 'above' END AS rel, 'L' || q.b AS obj
-        FROM asked q JOIN orders o ON o.o_orderkey = q.story_id AND o.o_orderstatus <> 'F'
+        SELECT DISTINCT q.story_id, 'L' || q.a AS subj, CASE WHEN x.block = 'A' THEN CASE WHEN o.o_orderstatus = 'F' THEN 'right' ELSE 'left' END
+          ELSE CASE WHEN o.o_orderstatus = 'F' THEN 'below' ELSE 'above' END END AS rel, 'L' || q.b AS obj
+        FROM asked q JOIN orders o ON o.o_orderkey = q.story_id
         JOIN holds x ON x.story_id = q.story_id AND x.n = q.a JOIN holds y ON y.story_id = q.story_id AND y.n = q.b
         WHERE (x.block = 'A' AND y.block = 'N') OR (x.block = 'N' AND y.block = 'R')""",
     "contradictions": f"""WITH {_STATED} SELECT DISTINCT f.story_id, least(f.subj, f.obj) AS a, greatest(f.subj, f.obj) AS b

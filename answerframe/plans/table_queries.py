@@ -729,7 +729,7 @@ def contradictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def answers_from_facts(spark: SparkSession, folder: str) -> DataFrame:
-    facts = rules.relation_symmetry(bridge.stated_relations_from_lineitem(spark, folder))
+    facts = rules.with_converses(bridge.stated_relations_from_lineitem(spark, folder))
     answers = rules.answer_from_facts(bridge.asked_questions_from_lineitem(spark, folder), facts)
     return answers.select("key", "q_type", labels_json(F.col("answer"), F.col("q_type")).alias("answer"))
 

@@ -256,7 +256,7 @@ def scene_relations_from_lineitem(spark: SparkSession, folder: str) -> DataFrame
 
 
 def stated_relations_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    """One stated fact per line, of any of the seven kinds, between two line numbers of its order."""
+    """One stated fact per line, of any of the seven kinds, between two line numbers of its order; with repeats."""
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("story_id"),
         F.expr("concat('L', l_linenumber)").alias("subj"),
@@ -264,7 +264,7 @@ def stated_relations_from_lineitem(spark: SparkSession, folder: str) -> DataFram
             "get(array('left','right','above','below','near','far','touching'), cast(l_suppkey % 7 as int))"
         ).alias("rel"),
         F.expr("concat('L', (l_linenumber + l_partkey) % 7 + 1)").alias("obj"),
-    ).filter("subj <> obj").distinct()
+    ).filter("subj <> obj")
 
 
 def containment_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
@@ -277,12 +277,14 @@ def containment_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def block_relations_from_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Block A is left of N, and N above R, in every order but the finished ones."""
-    return table(spark, folder, "orders").filter("o_orderstatus <> 'F'").select(
+    """Two block facts per order: A left of N and N above R; the other way round for finished orders."""
+    finished = "o_orderstatus = 'F'"
+    return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("story_id"),
         F.explode(
             F.expr(
-                "array(named_struct('subj','A','rel','left','obj','N'), named_struct('subj','N','rel','above','obj','R'))"
+                f"array(named_struct('subj', 'A', 'rel', if({finished}, 'right', 'left'), 'obj', 'N'),"
+                f" named_struct('subj', 'N', 'rel', if({finished}, 'below', 'above'), 'obj', 'R'))"
             )
         ).alias("f"),
     ).select("story_id", "f.subj", "f.rel", "f.obj")
