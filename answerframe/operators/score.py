@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from answerframe.constants import SET_TASKS, SINGLE_LABEL_TASKS
+from answerframe.constants import REPORT_KIND, SET_TASKS, SINGLE_LABEL_TASKS
 from answerframe.functions.metrics import binary_loss_sum, set_jaccard, softmax_loss
 from answerframe.operators.attempts import usage_sums
 
@@ -118,7 +118,7 @@ def run_report(questions: DataFrame, attempts: DataFrame | None = None) -> DataF
         ).alias("by_task"),
     )
     columns = [
-        F.lit("zero-shot on supplied file; no model training").alias("evaluation"),
+        F.lit(REPORT_KIND).alias("evaluation"),
         "selected_questions",
         "answered_questions",
         F.coalesce(F.try_divide("answered_questions", "selected_questions"), F.lit(0.0)).alias("coverage"),

@@ -91,7 +91,7 @@ def test_story_and_input_text(spark, sample, store):
     sample["data"][0]["story"] = ["  Có một khối ", "", " 　", "tên là A. "]
     sample["data"].append({"story": "\x1c một chuỗi \n", "questions": [{"q_type": "CO", "question": "Hỏi?", "candidate_answers": ["a", "b"], "answer": 1}]})
     rows = {r.key: r for r in encoder_inputs(read_questions(spark, store("a.json", sample), lenient=True)).collect()}
-    assert rows["0:0"].text == "Câu chuyện: Có một khối tên là A.\nCâu hỏi: Is there a circle in A?"
+    assert rows["0:0"].text == "Câu chuyện: Có một khối tên là A.\nCâu hỏi: Does A hold a disc?"
     assert rows["0:1"].text.endswith("\nCác lựa chọn: 0 | 1 | 2 | 3 | 4 | 5 | 6 | 7")
     assert rows["1:0"].text == "Câu chuyện: một chuỗi\nCâu hỏi: Hỏi?\nCác lựa chọn: a | b"
     assert rows["1:0"].candidates == ["a", "b"] and rows["1:0"].gold == ["1"] and rows["1:0"].labels.co_label == 1
