@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 
@@ -20,6 +19,10 @@ ADVISED = {
 }
 
 
+# Takes the place of ``spark.checkpoint.dir``, which a running session cannot change.
+LOCAL_FOLDER = "answerframe.local.folder"
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "answerframe") -> SparkSession:
     """A single-machine session. On a cluster, use the session the cluster gives."""
     builder = (
@@ -28,6 +31,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ans
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="answerframe-"))
     )
     for name, value in ADVISED.items():
         builder = builder.config(name, value)
@@ -37,19 +41,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ans
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it gets a folder of its own.
+    The library never makes one up: a session without that setting must have gone through
+    ``name_local_folder``, which only single-machine sessions may.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_FOLDER, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = _local_folder(spark.sparkContext.applicationId)
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return folder.rstrip("/")
 
 
-@functools.cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="answerframe-")
+def name_local_folder(spark: SparkSession) -> None:
+    """Give a single-machine session, as of tests, a folder of its own where none is configured."""
+    master = spark.sparkContext.master
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_FOLDER, None):
+        return
+    if master == "local" or master.startswith("local["):
+        spark.conf.set(LOCAL_FOLDER, tempfile.mkdtemp(prefix="answerframe-"))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -5,13 +5,13 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from answerframe.session import new_folder, shared_folder, written
+from answerframe.session import name_local_folder, new_folder, shared_folder, written
 
 
 def _session(master, folder):
     settings = {"spark.checkpoint.dir": folder} if folder else {}
     return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda name, default=None: settings.get(name, default)),
+        conf=SimpleNamespace(get=lambda name, default=None: settings.get(name, default), set=settings.__setitem__),
         sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
     )
 
@@ -23,11 +23,22 @@ def test_the_named_folder_is_used():
     assert first != second and first.startswith("hdfs://shared/checkpoints/answerframe/app-1/x-")
 
 
-def test_only_a_local_session_may_go_without():
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_must_name_a_folder(master):
+    cluster = _session(master, None)
+    name_local_folder(cluster)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(_session("yarn", None))
+        shared_folder(cluster)
+
+
+def test_a_local_session_gets_a_folder_once():
     local = _session("local[2]", None)
-    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(ValueError):
+        shared_folder(local)
+    name_local_folder(local)
+    first = shared_folder(local)
+    name_local_folder(local)
+    assert shared_folder(local) == first
 
 
 def test_written_rows_no_longer_change(spark):
