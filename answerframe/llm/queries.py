@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerframe.llm import mixing, pseudonyms, url_filter
-from answerframe.llm.common import table
+from answerframe.llm import decontaminate, language, mixing, pseudonyms, toxicity, url_filter
+from answerframe.llm.common import fold, table
 
 # The rules that op3 applies.
 URL_RULES = (
@@ -24,10 +24,33 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES).withColumn("upper", F.round("upper", 6))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = language.train(docs.filter(~held_out))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_spans"
+    )
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"),
+        F.when(F.col("toxic_score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="op10")
     return docs.select("doc_id", "text", "pii", F.size("pii").alias("n_values"))
@@ -35,6 +58,9 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
+    "op5_decontaminate": op5_decontaminate,
     "op6_mix_sources": op6_mix_sources,
+    "op9_toxicity": op9_toxicity,
     "op10_pseudonyms": op10_pseudonyms,
 }
