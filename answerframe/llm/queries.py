@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerframe.llm import decontaminate, language, mixing, pseudonyms, toxicity, url_filter
+from answerframe.llm import decontaminate, extract, language, mixing, pseudonyms, secrets, toxicity, url_filter
 from answerframe.llm.common import fold, table
 
 # The rules that op3 applies.
@@ -18,6 +18,22 @@ URL_RULES = (
 )
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), n("net").alias("n_net"),
+        F.sha2(joined(F.filter("secrets", lambda s: s["kind"] != "net")), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the quality labels, which name a page by the same number as a document."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -57,6 +73,8 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_extract": op2_extract,
     "op3_url_filter": op3_url_filter,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
