@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerframe.llm import decontaminate, extract, language, mixing, pseudonyms, secrets, toxicity, url_filter
+from answerframe.llm import (
+    decontaminate,
+    extract,
+    language,
+    mixing,
+    near_duplicates,
+    neighbours,
+    pseudonyms,
+    secrets,
+    toxicity,
+    url_filter,
+)
 from answerframe.llm.common import fold, table
 
 # The rules that op3 applies.
@@ -57,6 +68,15 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return neighbours.search(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -79,6 +99,8 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_mix_sources": op6_mix_sources,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op8_neighbours": op8_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_pseudonyms": op10_pseudonyms,
 }
