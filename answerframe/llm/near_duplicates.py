@@ -259,9 +259,18 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _round(buckets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """For each class one other of its buckets, in another component: the one that comes first by a hash of the turn."""
+    """For each class one other of its buckets, in another component.
+
+    In the first turn that with the most bucket mates: the text that many others are edits of,
+    whereas two edits of it may be less similar than either is to it. Later the first by a hash of the turn.
+    """
     entries = _open_buckets(buckets, labels)
-    leaders = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "component")).alias("l"))
+    order = F.xxhash64("node", F.lit(turn))
+    if not turn:
+        sizes = entries.groupBy("key").agg(F.count("*").alias("n"))
+        mates = entries.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("mates"))
+        entries, order = entries.join(mates, "node"), -F.col("mates")
+    leaders = entries.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("l"))
     met = entries.join(leaders, "key").filter(F.col("component") != F.col("l.component"))
     one = met.groupBy("node").agg(F.min("l").alias("l"))
     return one.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
