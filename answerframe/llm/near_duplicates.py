@@ -78,7 +78,8 @@ class Signer:
 def least_matches(n_hashes: int, batch: int, threshold: float, miss: float) -> np.ndarray:
     """For each number of batches compared, the fewest matches at which a pair may still be similar.
 
-    With m matches of n and a uniform prior the similarity is Beta(m + 1, n - m + 1).
+    With m matches of n and a uniform prior the similarity is Beta(m + 1, n - m + 1). Bytes that
+    match by chance (1 in 256) only make a pair live longer.
     """
     grid = (np.arange(2000) + 0.5) / 2000
     out = []
@@ -101,8 +102,8 @@ def sequential(a: np.ndarray, b: np.ndarray, least: np.ndarray, batch: int) -> n
     return alive
 
 
-def _signatures(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(len(column), -1)
+def _signatures(column: pd.Series, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), -1)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -148,10 +149,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int, size: int) ->
 
 def near_duplicates(
     docs: DataFrame, threshold: int = 75, size: int = 5, bands: int = 36, rows: int = 5, batch: int = 20, miss: float = 1e-4,
-    rounds: int = 6, block: int = 1000,
+    rounds: int = 6, block: int = 1000, sketch: int = 720,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``; ``threshold`` in hundredths."""
-    signer, least = Signer(bands * rows), least_matches(bands * rows, batch, threshold / 100, miss)
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``; ``threshold`` in hundredths.
+
+    ``bands * rows`` hashes find candidates; ``sketch`` further ones, one byte each, verify them.
+    """
+    signer, least = Signer(bands * rows), least_matches(sketch, batch, threshold / 100, miss)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -166,15 +170,15 @@ def near_duplicates(
     alive = signed.filter("node is not null and doc_id is not null")
     # A node is a set of shingles, named by its fingerprint; ``rep`` is the smallest id that has it.
     classes = written(alive.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    signatures = classes.select("node", "signature")
-    keyed = written(signatures.mapInPandas(_bands(bands, rows), "node binary, key long"), "bands")
+    keyed = written(classes.select("node", "signature").mapInPandas(_bands(bands, rows), "node binary, key long"), "bands")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     buckets = written(keyed.join(shared.select("key"), "key"), "buckets")
-    texts = written(_texts(own, classes, buckets, size), "texts")
+    texts = written(_texts(own, classes, buckets, size, Signer(sketch, seed=12)), "texts")
+    signatures = texts.select("node", F.col("sketch").alias("signature"))
 
     nodes = classes.select("node")
     labels = nodes.select("node", F.col("node").alias("component"))
-    links, tried, before = None, None, None
+    links, tried = None, None
     for turn in range(rounds):
         pairs = _round(buckets, labels, turn)
         if tried is not None:
@@ -187,9 +191,8 @@ def near_duplicates(
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         labels = _labels(links, nodes)
-        if before is not None and n > 0.8 * before:
+        if found.count() < 0.05 * n:
             break
-        before = n
     rest = _blocks(buckets, labels, signatures, least, batch, block)
     if tried is not None:
         rest = rest.join(tried, ["a", "b"], "left_anti")
@@ -233,17 +236,22 @@ def _bands(bands: int, rows: int):
     return run
 
 
-def _texts(own: DataFrame, classes: DataFrame, buckets: DataFrame, size: int) -> DataFrame:
-    """``node, text`` of the classes that share a bucket with another: the text of the smallest id."""
+def _texts(own: DataFrame, classes: DataFrame, buckets: DataFrame, size: int, signer: Signer) -> DataFrame:
+    """``node, text, sketch`` of the classes that share a bucket with another: the text of the smallest id."""
     needed = classes.select("node", F.col("rep").alias("doc_id")).join(buckets.select("node").distinct(), "node")
 
     def own_set(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # An id may have several texts; only the one with the class's set is its text.
         for frame in batches:
-            yield frame.loc[[_mark(shingle_set(t, size)) == bytes(n) for t, n in zip(frame["text"], frame["node"], strict=True)], ["node", "text"]]
+            rows = []
+            for node, text in zip(frame["node"], frame["text"], strict=True):
+                own = shingle_set(text, size)
+                if _mark(own) == bytes(node):
+                    rows.append((node, text, (signer.sign(own) >> np.uint32(4)).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "text", "sketch"])
 
-    found = own.filter("text is not null").join(needed, "doc_id").select("node", "text").mapInPandas(own_set, "node binary, text string")
-    return found.groupBy("node").agg(F.min("text").alias("text"))
+    found = own.filter("text is not null").join(needed, "doc_id").select("node", "text").mapInPandas(own_set, "node binary, text string, sketch binary")
+    return found.groupBy("node").agg(F.min("text").alias("text"), F.first("sketch").alias("sketch"))
 
 
 def _labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -280,7 +288,7 @@ def _survivors(pairs: DataFrame, signatures: DataFrame, least: np.ndarray, batch
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if len(frame):
-                yield frame.iloc[sequential(_signatures(frame["s"]), _signatures(frame["t"]), least, batch)][["a", "b"]]
+                yield frame.iloc[sequential(_signatures(frame["s"], np.uint8), _signatures(frame["t"], np.uint8), least, batch)][["a", "b"]]
 
     s = signatures.select(F.col("node").alias("a"), F.col("signature").alias("s"))
     t = signatures.select(F.col("node").alias("b"), F.col("signature").alias("t"))
@@ -298,7 +306,9 @@ def _blocks(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, least:
     largest = counts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("l"))
     parts = lambda n: F.ceil(n / block).cast("int")
     shape = largest.select("key", F.col("l.component").alias("main"), parts(F.col("all")).alias("parts"), parts(F.col("all") - F.col("l.n")).alias("asks"))
-    dealt = entries.join(shape, "key").join(signatures, "node")
+    # A pair may meet in several buckets; it counts in the first, so every class brings its keys (one for each band at most).
+    keys = entries.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    dealt = entries.join(shape, "key").join(signatures.join(keys, "node"), "node")
     right = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
     left = dealt.filter("component <> main").withColumn("ask", F.pmod(F.xxhash64("node"), F.col("asks")).cast("int")).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -307,16 +317,18 @@ def _blocks(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, least:
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[bytes, bytes]] = []
         if len(x) and len(y):
-            p, q = _signatures(x["signature"]), _signatures(y["signature"])
+            p, q = _signatures(x["signature"], np.uint8), _signatures(y["signature"], np.uint8)
             mine, theirs = ([bytes(n) for n in f["node"]] for f in (x, y))
             of = np.array([bytes(c) for c in y["component"]], dtype=object)
+            here, keys, others = int(x["key"].iloc[0]), [set(k) for k in x["keys"]], y["keys"].tolist()
             for i, component in enumerate(x["component"]):
                 other = np.flatnonzero(of != bytes(component))
                 hit = other[sequential(np.broadcast_to(p[i], (len(other), p.shape[1])), q[other], least, batch)]
+                hit = [j for j in hit if next(k for k in others[j] if k in keys[i]) == here]
                 found += [(min(mine[i], theirs[j]), max(mine[i], theirs[j])) for j in hit]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    key, columns = ["key", "part", "ask"], ["node", "component", "signature"]
+    key, columns = ["key", "part", "ask"], ["node", "component", "signature", "keys"]
     # Both sides come from the same rows; fresh names keep their columns apart.
     theirs = right.select(*[F.col(c).alias(f"other_{c}") for c in (*key, *columns)])
     theirs = theirs.select(*[F.col(f"other_{c}").alias(c) for c in (*key, *columns)])
