@@ -158,6 +158,8 @@ class _Scorer:
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """The best labels of sequences laid end to end in ``scores``, all stepped through together."""
     n_states = scores.shape[1]
+    if not scores.size:
+        return np.zeros(len(scores), dtype=np.int16)
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]

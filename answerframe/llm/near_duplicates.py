@@ -148,7 +148,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int, size: int) ->
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: int = 75, size: int = 5, bands: int = 36, rows: int = 5, batch: int = 20, miss: float = 1e-4,
+    docs: DataFrame, threshold: int = 75, size: int = 5, bands: int = 36, rows: int = 5, batch: int = 40, miss: float = 1e-6,
     rounds: int = 6, block: int = 1000, sketch: int = 720,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``; ``threshold`` in hundredths.
