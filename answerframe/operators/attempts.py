@@ -92,19 +92,22 @@ def config_drift(recorded: DataFrame, wanted: DataFrame, on: Sequence[str] = ())
     """Fields in which two run manifests differ, one row per run and field.
 
     Both sides have the same columns. ``on`` names the run; without it each side is one
-    manifest. An empty result means that the run may go on.
+    manifest. A run that only one side has gives the field ``missing_manifest``. An empty
+    result means that the run may go on.
     """
     fields = [c for c in recorded.columns if c not in on]
     keys = list(on)
     if not keys:
         recorded, wanted, keys = recorded.withColumn("_run", F.lit(1)), wanted.withColumn("_run", F.lit(1)), ["_run"]
-    left = recorded.select(*keys, *[F.col(f).alias(f"_a_{f}") for f in fields])
-    right = wanted.select(*keys, *[F.col(f).alias(f"_b_{f}") for f in fields])
+    left = recorded.select(*keys, F.lit(True).alias("_in_a"), *[F.col(f).alias(f"_a_{f}") for f in fields])
+    right = wanted.select(*keys, F.lit(True).alias("_in_b"), *[F.col(f).alias(f"_b_{f}") for f in fields])
     changed = F.filter(
         F.array(*[F.when(~F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}")), F.lit(f)) for f in fields]),
         lambda f: f.isNotNull(),
     )
-    return left.join(right, keys).select(*on, F.explode(changed).alias("field"))
+    one_sided = F.col("_in_a").isNull() | F.col("_in_b").isNull()
+    named = F.when(one_sided, F.array(F.lit("missing_manifest"))).otherwise(changed)
+    return left.join(right, keys, "full_outer").select(*on, F.explode(named).alias("field"))
 
 
 def require_same_config(recorded: DataFrame, wanted: DataFrame) -> None:

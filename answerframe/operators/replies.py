@@ -11,12 +11,16 @@ from answerframe.functions.answers import check_answers
 def with_strict_json(rows: DataFrame, text: str, name: str) -> DataFrame:
     """Add the one JSON value a text holds, as a variant; NULL when it is not exactly one.
 
-    Parsing the text inside brackets rejects what may follow a complete value, which the
-    plain parser lets through. An object with a repeated key is rejected too.
+    The text must be the only item inside brackets and the only field inside braces: no tail
+    after a complete value can close both. An object with a repeated key is rejected too.
     """
+    braced = F.try_parse_json(F.concat(F.lit('{"v":'), F.coalesce(text, F.lit("")), F.lit("}")))
     bracketed = F.try_parse_json(F.concat(F.lit("["), F.coalesce(text, F.lit("")), F.lit("]")))
-    items = rows.withColumn("_items", F.try_variant_get(bracketed, "$", "array<variant>"))
-    return items.withColumn(name, F.when(F.size("_items") == 1, F.get("_items", F.lit(0)))).drop("_items")
+    items = rows.withColumn("_items", F.try_variant_get(bracketed, "$", "array<variant>")).withColumn(
+        "_fields", F.try_variant_get(braced, "$", "map<string,variant>")
+    )
+    single = (F.size("_items") == 1) & (F.size("_fields") == 1)
+    return items.withColumn(name, F.when(single, F.get("_items", F.lit(0)))).drop("_items", "_fields")
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:

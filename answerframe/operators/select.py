@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from answerframe.session import written
 
 INPUT_ORDER = ("source_file", "story_index", "question_index")
-# Above this many rows a top-n no longer fits comfortably into one final task.
-_TOP_N_BOUND = 100_000
 
 
 def with_position(questions: DataFrame, order: Sequence[str] = INPUT_ORDER, name: str = "position") -> DataFrame:
@@ -44,6 +42,7 @@ def prefix(questions: DataFrame, n: int, order: Sequence[str] = INPUT_ORDER) ->
     """The first ``n`` questions in input order."""
     if n < 1:
         raise ValueError("n must be positive")
-    if n <= _TOP_N_BOUND:
-        return questions.orderBy(*order).limit(n)
-    return with_position(questions, order, "_position").filter(F.col("_position") <= n).drop("_position", "selected")
+    # The same plan for every n: no task gathers the prefix, and a column named ``selected`` stays.
+    keys = [f"_by_{i}" for i in range(len(order))]
+    wrapped = questions.select(F.struct("*").alias("_row"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)])
+    return with_position(wrapped, keys, "_position").filter(F.col("_position") <= n).select("_row.*")

@@ -244,8 +244,8 @@ _RELATION = "CASE l_suppkey % 7 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 TH
 _CONVERSE = "CASE rel WHEN 'left' THEN 'right' WHEN 'right' THEN 'left' WHEN 'above' THEN 'below' WHEN 'below' THEN 'above' ELSE rel END"
 _STATED = f"""stated AS (
   SELECT DISTINCT l_orderkey AS story_id, 'L' || l_linenumber AS subj, {_RELATION} AS rel,
-    'L' || ((l_linenumber + l_partkey) % 7 + 1) AS obj
-  FROM lineitem WHERE l_linenumber <> (l_linenumber + l_partkey) % 7 + 1),
+    'L' || ((l_linenumber + l_partkey % 6) % 7 + 1) AS obj
+  FROM lineitem),
 both_ways AS (SELECT * FROM stated UNION SELECT story_id, obj, {_CONVERSE}, subj FROM stated)"""
 
 _SCENE = """present AS (SELECT DISTINCT l_orderkey AS story_id, l_linenumber AS n FROM lineitem),
@@ -385,9 +385,6 @@ ORACLES: dict[str, str] = {
         heads AS (SELECT unnest(range(0, 18)) AS head)
         SELECT vec_id, CAST(head AS INT) AS head, round(sum(CAST(x AS DOUBLE) * (((head * 64 + d) * 7) % 11 - 5) / 10.0), 3) AS logit
         FROM cells, heads GROUP BY vec_id, head""",
-    "answer_with": f"""WITH {_CHAT} SELECT key,
-        CASE WHEN key LIKE '%3' THEN NULL ELSE CASE q_type WHEN 'YN' THEN '["Yes"]' WHEN 'FR' THEN '[2,5]' WHEN 'FB' THEN '["A"]' ELSE '[3]' END END AS answer,
-        CASE WHEN key LIKE '%3' THEN 'RefusedOrIncompleteResponse' END AS error, CAST(15 AS BIGINT) AS total_tokens FROM chat""",
     "flatten": f"""WITH {_CHAT} SELECT key, q_type, md5(question) AS question_md5, replace({_CHOICES}, ' | ', ',') AS candidates,
         labelled AS has_answer_key, CASE WHEN labelled THEN {_json_names('q_type', 'g')} END AS answer FROM chat""",
     "flatten_rejects": f"""WITH {_CHAT} SELECT key, CASE
@@ -416,9 +413,6 @@ ORACLES: dict[str, str] = {
         CAST(coalesce(sum(prompt_tokens + completion_tokens), 0) AS BIGINT) AS total_tokens FROM log GROUP BY 1""",
     "stream_latest": f"WITH {_LOG} SELECT key, {_names('answer_task', 'answer_mask')} AS answer, position FROM last",
     "relation_symmetry": f"WITH {_STATED} SELECT story_id, subj, rel, obj FROM both_ways",
-    "relation_closure": f"""WITH RECURSIVE {_SCENE}, reach AS (SELECT story_id, n, m FROM ordered WHERE m IS NOT NULL
-          UNION SELECT r.story_id, r.n, o.m FROM reach r JOIN ordered o ON o.story_id = r.story_id AND o.n = r.m WHERE o.m IS NOT NULL)
-        SELECT story_id, 'L' || n AS subj, 'left' AS rel, 'L' || m AS obj FROM reach""",
     "relation_reach": f"""WITH {_SCENE} SELECT a.story_id, 'L' || a.n AS subj, 'left' AS rel, 'L' || b.n AS obj
         FROM present a JOIN present b ON b.story_id = a.story_id AND b.n > a.n JOIN orders o ON o.o_orderkey = a.story_id AND o.o_custkey % 7 + 1 = a.n""",
     "inherit_direction": """WITH holds AS (SELECT DISTINCT l_orderkey AS story_id, l_returnflag AS block, l_linenumber AS n FROM lineitem),

@@ -45,7 +45,6 @@ from answerframe.operators.audit import (
 )
 from answerframe.operators.export import export_predictions
 from answerframe.operators.infer import (
-    answer_with,
     apply_heads,
     fit_heads,
     masked_mean_pool,
@@ -565,43 +564,10 @@ def modelled_logits(spark: SparkSession, folder: str) -> DataFrame:
 def fitted_heads(spark: SparkSession, folder: str) -> DataFrame:
     """Heads fitted on the vectors, applied, decoded and scored."""
     rows = _labelled_logits(spark, folder).select("key", "q_type", "candidates", "gold", "labels", F.col("embedding").alias("features"))
-    models = fit_heads(rows, max_iter=5)
+    models = fit_heads(rows)
     return _rounded(score(predict(apply_heads(rows, models)), missing="skip"), "accuracy", "exact_match", "jaccard", digits=3)
 
 
-def answered_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """A stand-in transport answers every request by its task; replies are parsed."""
-
-    def call(frame):
-        import json
-
-        import pandas as pd
-
-        fixed = {"YN": ["Yes"], "FR": [2, 5], "FB": ["A"], "CO": [3]}
-        tasks = [json.loads(json.loads(body)["messages"][1]["content"])["q_type"] for body in frame["body"]]
-        n = len(frame)
-        return pd.DataFrame(
-            {
-                "source_file": frame["source_file"],
-                "key": frame["key"],
-                "response_id": "r-" + frame["key"],
-                "response_model": ["stub"] * n,
-                "usage": [{"prompt_tokens": 10, "completion_tokens": 5, "total_tokens": 15}] * n,
-                "finish_reason": ["length" if key.endswith("3") else "stop" for key in frame["key"]],
-                "refusal": [None] * n,
-                "content": [json.dumps({"reasoning": "seen", "answer": fixed[t]}) for t in tasks],
-            }
-        )
-
-    requests = _conversation_requests(spark, folder)
-    replies = written(answer_with(requests.select("source_file", "key", "body"), call, REPLY_SCHEMA), "replies")
-    asked = bridge.questions_from_conversations(spark, folder).select(
-        "source_file", "key", "q_type", F.transform("candidates", lambda c: c.cast("variant")).alias("candidates")
-    )
-    parsed = parse_replies(replies.join(asked, ["source_file", "key"]))
-    return parsed.select("key", F.to_json("answer").alias("answer"), "error", F.col("usage.total_tokens").alias("total_tokens"))
-
-
 # --- nested files --------------------------------------------------------------------------
 
 
@@ -704,10 +670,6 @@ def relation_symmetry(spark: SparkSession, folder: str) -> DataFrame:
     return rules.relation_symmetry(bridge.stated_relations_from_lineitem(spark, folder))
 
 
-def relation_closure(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.relation_closure(bridge.scene_relations_from_lineitem(spark, folder))
-
-
 def relation_reach(spark: SparkSession, folder: str) -> DataFrame:
     """The closure from the objects asked about only: here the line number an order's key points to."""
     asked = bridge.table(spark, folder, "orders").selectExpr(
@@ -792,7 +754,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "masked_mean_pool_rows": pooled_rows,
     "score_with_model": modelled_logits,
     "fit_heads": fitted_heads,
-    "answer_with": answered_requests,
     "flatten": flattened_questions,
     "flatten_rejects": rejected_questions,
     "export_fresh": export_fresh,
@@ -801,7 +762,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_tally": stream_tallies,
     "stream_latest": stream_latests,
     "relation_symmetry": relation_symmetry,
-    "relation_closure": relation_closure,
     "relation_reach": relation_reach,
     "inherit_direction": inherited_directions,
     "contradictions": contradictions,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 
 ATTEMPT_SCHEMA = (
     "key STRING, response_id STRING, response_model STRING, "
@@ -16,20 +16,29 @@ ATTEMPT_SCHEMA = (
 )
 
 
+def _exists(reader: DataFrameReader, path: str) -> bool:
+    try:
+        reader.json(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def read_attempts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All attempts with a ``position`` that orders them.
 
-    Blank lines are skipped, a bad line raises, and a log that does not exist yet is empty.
+    Blank lines are skipped, a bad line raises, and a path that does not exist yet is empty.
     The order is: the caller's ``seq`` where the log has one, then file time, file, place
     in the file.
     """
-    try:
-        lines = spark.read.schema(ATTEMPT_SCHEMA).option("mode", "FAILFAST").json(paths)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
+    reader = spark.read.schema(ATTEMPT_SCHEMA).option("mode", "FAILFAST")
+    present = [path for path in ([paths] if isinstance(paths, str) else paths) if _exists(reader, path)]
+    if not present:
         lines = spark.createDataFrame([], ATTEMPT_SCHEMA)
         return lines.withColumn("position", _position_of_nothing())
+    lines = reader.json(present)
     return lines.select(
         "*",
         F.struct(

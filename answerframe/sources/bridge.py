@@ -8,6 +8,7 @@ join of a conversation's later turns with its first.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Window as W
 
 from answerframe.constants import FB_LABELS, YN_LABELS
 
@@ -233,25 +234,15 @@ def logits_from_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 def scene_relations_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     """Facts of a scene per order: each line number present is left of the next one present.
 
-    Entities are line numbers, so a scene stays small however many lines an order has, and
-    duplicate lines meet before the shuffle.
+    Entities are line numbers of any size; duplicate lines meet before the shuffle.
     """
-    scenes = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("story_id")).agg(
-        F.bit_or(F.expr("shiftleft(1, l_linenumber)")).alias("present")
-    )
-    ordered = scenes.select(
-        "story_id", F.filter(F.sequence(F.lit(1), F.lit(30)), lambda i: F.getbit("present", i) == 1).alias("at")
-    )
-    pairs = F.zip_with(
-        F.slice("at", F.lit(1), F.greatest(F.size("at") - 1, F.lit(0))),
-        F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
-    return ordered.select("story_id", F.explode(pairs).alias("p")).select(
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("story_id"), F.col("l_linenumber").alias("n")).distinct()
+    following = F.lead("n").over(W.partitionBy("story_id").orderBy("n"))
+    return lines.withColumn("m", following).filter("m is not null").select(
         "story_id",
-        F.concat(F.lit("L"), F.col("p.a")).alias("subj"),
+        F.concat(F.lit("L"), F.col("n")).alias("subj"),
         F.lit("left").alias("rel"),
-        F.concat(F.lit("L"), F.col("p.b")).alias("obj"),
+        F.concat(F.lit("L"), F.col("m")).alias("obj"),
     )
 
 
@@ -263,8 +254,9 @@ def stated_relations_from_lineitem(spark: SparkSession, folder: str) -> DataFram
         F.expr(
             "get(array('left','right','above','below','near','far','touching'), cast(l_suppkey % 7 as int))"
         ).alias("rel"),
-        F.expr("concat('L', (l_linenumber + l_partkey) % 7 + 1)").alias("obj"),
-    ).filter("subj <> obj")
+        # Never the line's own number, so that every line states a fact.
+        F.expr("concat('L', (l_linenumber + l_partkey % 6) % 7 + 1)").alias("obj"),
+    )
 
 
 def containment_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:

@@ -41,7 +41,7 @@ HEADLINE = [
     "flatten",
     "export_fresh",
     "relation_symmetry",
-    "relation_closure",
+    "relation_reach",
     "answer_from_facts",
 ]
 
