@@ -55,5 +55,3 @@ ERROR_TEXT_LIMIT = 1000
 # Name of the reply schema in a request.
 REPLY_SCHEMA_NAME = "spatial_answer"
 
-# What a run report says about the kind of evaluation.
-REPORT_KIND = "zero-shot on supplied file; no model training"

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from answerframe.constants import REPORT_KIND, SET_TASKS, SINGLE_LABEL_TASKS
+from answerframe.constants import SET_TASKS, SINGLE_LABEL_TASKS
 from answerframe.functions.metrics import binary_loss_sum, set_jaccard, softmax_loss
 from answerframe.operators.attempts import usage_sums
 
@@ -84,11 +84,11 @@ def per_file_metrics(questions: DataFrame, missing: str = "skip") -> DataFrame:
     return task_metrics_map(score(questions, missing, by=["source_file"]), by=["source_file"])
 
 
-def run_report(questions: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+def run_report(questions: DataFrame, attempts: DataFrame | None = None, evaluation: str | None = None) -> DataFrame:
     """One row: selected, answered, coverage, status, metrics by task and token usage.
 
     ``questions`` are the selected ones with ``prediction``. Usage is summed over *all*
-    attempts, failed ones and those of other questions included.
+    attempts, failed ones and those of other questions included. ``evaluation`` says what kind of run it was.
     """
     scored = question_scores(questions)
     has_gold = F.col("gold").isNotNull()
@@ -118,7 +118,7 @@ def run_report(questions: DataFrame, attempts: DataFrame | None = None) -> DataF
         ).alias("by_task"),
     )
     columns = [
-        F.lit(REPORT_KIND).alias("evaluation"),
+        F.lit(evaluation).cast("string").alias("evaluation"),
         "selected_questions",
         "answered_questions",
         F.coalesce(F.try_divide("answered_questions", "selected_questions"), F.lit(0.0)).alias("coverage"),

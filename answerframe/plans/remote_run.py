@@ -18,7 +18,7 @@ from answerframe.operators.replies import parse_replies
 from answerframe.operators.score import run_report
 from answerframe.session import written
 from answerframe.sources.attempts import append_attempts, read_attempts
-from answerframe.sources.questions import read_documents, read_questions
+from answerframe.sources.questions import read_documents, read_questions, read_stories
 from answerframe.sources.sinks import write_report, write_stories
 
 REPLY_SCHEMA = (
@@ -115,17 +115,18 @@ def with_gold_and_predictions(questions: DataFrame, attempts: DataFrame) -> Data
     )
 
 
-def finish(spark: SparkSession, input_path: str, run_folder: str, questions: DataFrame | None = None) -> DataFrame:
-    """Score the log, write the report and the predictions, and return the report."""
-    questions = questions if questions is not None else read_questions(spark, input_path)
+def finish(
+    spark: SparkSession, input_path: str, run_folder: str, questions: DataFrame | None = None, layout: str = "document", evaluation: str | None = None
+) -> DataFrame:
+    """Score the log, write the report and the predictions, and return the report. ``layout`` is that of the input."""
+    questions = questions if questions is not None else read_questions(spark, input_path, layout)
+    stories = (read_stories if layout == "stories" else read_documents)(spark, input_path)
     attempts = read_attempts(spark, f"{run_folder}/responses")
-    joined = with_gold_and_predictions(questions, attempts)
-    report = run_report(joined, attempts)
+    joined = written(with_gold_and_predictions(questions, attempts), "joined")
+    report = run_report(joined, attempts, evaluation)
     write_report(report, f"{run_folder}/metrics")
     predictions = joined.filter(F.col("prediction_raw").isNotNull()).select(
         "source_file", "story_index", "question_index", F.col("prediction_raw").alias("prediction")
     )
-    write_stories(
-        export_predictions(read_documents(spark, input_path), predictions, mode="fresh"), f"{run_folder}/predictions"
-    )
+    write_stories(export_predictions(stories, predictions, mode="fresh"), f"{run_folder}/predictions")
     return report

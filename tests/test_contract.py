@@ -13,23 +13,35 @@ from answerframe.operators.replies import parse_replies
 from answerframe.plans.remote_run import RunConfig, build_requests
 from answerframe.sources.questions import read_questions
 
-CASES = [
-    ("YN", [], '["Yes"]', None), ("YN", [], '["No"]', None), ("YN", [], '["DK"]', None),
-    ("YN", [], '["yes"]', "invalid_label"), ("YN", [], "[]", "needs_one_label"),
-    ("YN", [], '["Yes","No"]', "needs_one_label"), ("YN", [], '"Yes"', "not_a_list"), ("YN", [], "null", "not_a_list"),
-    ("YN", [], "[null]", "invalid_label"), ("YN", [], '["Yes",null]', "invalid_label"),
-    ("FR", [], "[7]", None), ("FR", [], "[2,5]", None), ("FR", [], "[]", "needs_a_relation"),
-    ("FR", [], "[7,1]", "dk_not_alone"), ("FR", [], "[1,1]", "duplicate_label"), ("FR", [], '["1"]', "invalid_label"),
-    ("FR", [], "[true]", "invalid_label"), ("FR", [], "[1.0]", "invalid_label"), ("FR", [], "[1,1.0]", "invalid_label"),
-    ("FR", [], "[8]", "invalid_label"), ("FR", [], "[-1]", "invalid_label"), ("FR", [], "[[1]]", "invalid_label"),
-    ("FR", [], '{"a":1}', "not_a_list"), ("FR", [], "[99999999999999999999]", "invalid_label"),
-    ("FB", ["A", "B"], "[]", None), ("FB", ["A", "B"], '["A"]', None), ("FB", ["A", "B"], '["A","B"]', None),
-    ("FB", ["A", "B"], '["C"]', "invalid_label"), ("FB", ["A", "A"], '["A","A"]', "duplicate_label"),
-    ("FB", [1, "B"], '["1"]', "invalid_label"), ("FB", [1, "B"], "[1]", "invalid_label"),
-    ("CO", [], "[0]", None), ("CO", [], "[3]", None), ("CO", [], "[4]", "invalid_label"),
-    ("CO", [], '["0"]', "invalid_label"), ("CO", [], "[]", "needs_one_label"), ("CO", [], "[0,1]", "needs_one_label"),
-    ("ZZ", [], "[0]", "unsupported_task"),
-]
+# What each task allows: its labels (FB: the candidates) and how many of them.
+ALLOWED = {"YN": (["Yes", "No", "DK"], 1, 1), "CO": ([0, 1, 2, 3], 1, 1), "FR": ([*range(8)], 1, 7), "FB": (["Kiosk", "D", "x y"], 0, 3)}
+
+
+def _cases():
+    """Every subset of up to two labels, its labels in another type or case, and values that are no labels at all."""
+    out = []
+    for task, (labels, least, most) in ALLOWED.items():
+        candidates = labels if task == "FB" else []
+        short = "needs_a_relation" if task == "FR" else "needs_one_label"
+        out.append((task, candidates, "[]", short if least else None))
+        for a in labels:
+            other = str(a) if isinstance(a, int) else a.swapcase()
+            out += [(task, candidates, json.dumps([a]), None), (task, candidates, json.dumps([other]), "invalid_label")]
+            for b in labels:
+                if a == b:
+                    reason = "duplicate_label"
+                elif most == 1:
+                    reason = short
+                else:
+                    reason = "dk_not_alone" if task == "FR" and 7 in (a, b) else None
+                out.append((task, candidates, json.dumps([a, b]), reason))
+        out += [(task, candidates, text, "not_a_list") for text in ("null", "5", '"No"', '{"0":0}', "true")]
+        out += [(task, candidates, f"[{text}]", "invalid_label") for text in ("null", "[]", "{}", "2.0", "-3", "9" * 25, "false")]
+    typed = [("FB", [4, "4"], "[4]", "invalid_label"), ("FB", [4, "B"], '["4"]', "invalid_label")]
+    return [*out, *typed, ("QQ", [], "[0]", "unsupported_task")]
+
+
+CASES = _cases()
 
 
 def _answers(spark, cases):
@@ -94,13 +106,13 @@ def _replies(spark, rows):
         F.array().cast("array<variant>").alias("candidates"),
         F.lit("id").alias("response_id"),
         F.lit("m").alias("response_model"),
-        F.expr("named_struct('prompt_tokens', 10L, 'completion_tokens', 5L, 'total_tokens', 15L)").alias("usage"),
+        F.expr("named_struct('prompt_tokens', 31L, 'completion_tokens', 8L, 'total_tokens', 39L)").alias("usage"),
     )
 
 
 def test_replies(spark):
     def good(answer):
-        return json.dumps({"reasoning": "Evidence.", "answer": answer, "more": 1})
+        return json.dumps({"reasoning": "It says so.", "answer": answer, "more": 1})
 
     rows = [
         ("ok", "stop", None, good(["Yes"]), "YN"),
@@ -108,7 +120,7 @@ def test_replies(spark):
         ("length", "length", None, good(["Yes"]), "YN"),
         ("refused", "stop", "no", good(["Yes"]), "YN"),
         ("unfinished", None, None, good(["Yes"]), "YN"),
-        ("invalid", "stop", None, good(["invalid"]), "YN"),
+        ("invalid", "stop", None, good(["perhaps"]), "YN"),
         ("no text", "stop", None, None, "YN"),
         ("junk", "stop", None, good(["Yes"]) + " x", "YN"),
         ("two", "stop", None, good(["Yes"]) + "," + good(["Yes"]), "YN"),
@@ -126,8 +138,8 @@ def test_replies(spark):
         "invalid": invalid, "no text": invalid, "junk": invalid, "two": invalid, "list": invalid, "reasoning": invalid,
         "no reasoning": invalid, "no answer": invalid, "null answer": invalid, "spaces": None,
     }
-    assert got["ok"].answer == '["Yes"]' and got["ok"].reasoning == "Evidence." and got["spaces"].answer == "[2,5]"
-    assert all(r.usage.total_tokens == 15 for r in got.values())
+    assert got["ok"].answer == '["Yes"]' and got["ok"].reasoning == "It says so." and got["spaces"].answer == "[2,5]"
+    assert all(r.usage.total_tokens == 39 for r in got.values())
     assert all(r.answer is None and r.reasoning is None for r in got.values() if r.error)
 
 
@@ -172,10 +184,11 @@ def test_requests_hold_the_payload_and_nothing_else(spark, sample, tmp_path):
     path.write_text(json.dumps(sample, ensure_ascii=False))
     config = RunConfig("https://models.example/", "m", 'Vị trí "A"\nend', "0" * 64, 0.0, 100)
     rows = build_requests(read_questions(spark, str(path)), config).collect()
-    source = sample["data"][0]
-    assert len(rows) == 4
+    assert len(rows) == 5
     for row in rows:
-        question = source["questions"][int(row.key.split(":")[1])]
+        story, place = map(int, row.key.split(":"))
+        source = sample["data"][story]
+        question = source["questions"][place]
         body = json.loads(row.body)
         assert body["messages"][0] == {"role": "system", "content": 'Vị trí "A"\nend'}
         assert json.loads(body["messages"][1]["content"]) == {
@@ -189,6 +202,6 @@ def test_requests_hold_the_payload_and_nothing_else(spark, sample, tmp_path):
         answer = schema["schema"]["properties"]["answer"]
         wanted = {
             "YN": ("string", ["Yes", "No", "DK"], 1, 1), "FR": ("integer", list(range(8)), 1, 8),
-            "FB": ("string", ["A", "B"], 0, 2), "CO": ("integer", [0, 1, 2, 3], 1, 1),
+            "FB": ("string", ["C", "A", "B"], 0, 3), "CO": ("integer", [0, 1, 2, 3], 1, 1),
         }[question["q_type"]]
         assert (answer["items"]["type"], answer["items"]["enum"], answer["minItems"], answer["maxItems"]) == wanted

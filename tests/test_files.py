@@ -30,34 +30,33 @@ def store(tmp_path):
 
 
 def test_flatten_keeps_ordinals_types_and_files(spark, sample, store):
-    second = {"data": [{"story": "Tiếng Việt", "questions": []}, copy.deepcopy(sample["data"][0])]}
+    second = {"data": [{"story": "Tiếng Việt", "questions": []}, copy.deepcopy(sample["data"][1])]}
     a, b = store("one/a.json", sample), store("two/b.json", second)
     rows = read_questions(spark, [a, b]).withColumn("answer", F.to_json("answer")).collect()
-    assert {(r.source_file.split("/")[-1], r.key) for r in rows} == {("a.json", f"0:{i}") for i in range(4)} | {
-        ("b.json", f"1:{i}") for i in range(4)
+    assert {(r.source_file.split("/")[-1], r.key) for r in rows} == {("a.json", "0:0"), ("a.json", "0:1")} | {
+        (name, f"1:{i}") for i in range(3) for name in ("a.json", "b.json")
     }
-    assert {r.dataset_name for r in rows} == {"sample", "b"}
+    assert {r.dataset_name for r in rows} == {"harbour", "b"}
     answers = {r.key: r.answer for r in rows}
-    assert (answers["0:0"], answers["0:1"], answers["0:2"], answers["0:3"]) == ('["Yes"]', "[7]", "[]", "[0]")
+    assert answers == {"0:0": "[3]", "0:1": "[0,4]", "1:0": '["C","A"]', "1:1": '["No"]', "1:2": '["DK"]'}
 
 
 def test_null_and_missing_answers_differ(spark, sample, store):
-    questions = sample["data"][0]["questions"]
-    questions[0]["answer"] = None
-    del questions[1]["answer"]
+    sample["data"][1]["questions"][1]["answer"] = None
+    del sample["data"][0]["questions"][1]["answer"]
     frame = read_questions(spark, store("a.json", sample))
     got = {r.key: (r.has_answer_key, r.answer_is_null) for r in frame.collect()}
-    assert got == {"0:0": (True, True), "0:1": (False, False), "0:2": (True, False), "0:3": (True, False)}
-    assert {r.key for r in labelled(frame).collect()} == {"0:0", "0:2", "0:3"}
+    assert got == {"0:0": (True, False), "0:1": (False, False), "1:0": (True, False), "1:1": (True, True), "1:2": (True, False)}
+    assert {r.key for r in labelled(frame).collect()} == {"0:0", "1:0", "1:1", "1:2"}
     gold = {r.key: r.gold for r in encoder_inputs(frame).collect()}
-    assert gold == {"0:0": [], "0:1": None, "0:2": [], "0:3": ["0"]}
+    assert gold == {"0:0": ["3"], "0:1": None, "1:0": ["C", "A"], "1:1": [], "1:2": ["DK"]}
 
 
 def test_faults_raise_or_are_kept_as_rejects(spark, sample, store):
     questions = sample["data"][0]["questions"]
     questions[0]["q_type"] = "XX"
     questions[1]["answer"] = ["7"]
-    del questions[2]["candidate_answers"]
+    del sample["data"][1]["questions"][0]["candidate_answers"]
     sample["data"].append({"story": "no questions key"})
     sample["data"].append({"questions": [{"q_type": "YN", "question": "?", "candidate_answers": []}]})
     path = store("a.json", sample)
@@ -67,12 +66,12 @@ def test_faults_raise_or_are_kept_as_rejects(spark, sample, store):
         read_questions(spark, path).count()
     got = {(r.story_index, r.question_index): r.reject_reason for r in read_questions(spark, path, on_error="reject").collect()}
     assert got == {
-        (0, 0): "unsupported_task", (0, 1): "invalid_gold:invalid_label", (0, 2): "missing_field:candidate_answers", (0, 3): None,
-        (1, None): "missing_field:questions", (2, 0): "missing_field:story",
+        (0, 0): "unsupported_task", (0, 1): "invalid_gold:invalid_label", (1, 0): "missing_field:candidate_answers", (1, 1): None, (1, 2): None,
+        (3, None): "missing_field:questions", (4, 0): "missing_field:story",
     }
     lenient = read_questions(spark, path, lenient=True, on_error="reject").collect()
     assert {(r.story_index, r.question_index): r.reject_reason for r in lenient} == {
-        (0, 0): "unsupported_task", (0, 1): None, (0, 2): None, (0, 3): None, (2, 0): None,
+        (0, 0): "unsupported_task", (0, 1): None, (1, 0): None, (1, 1): None, (1, 2): None, (4, 0): None,
     }
 
 
@@ -88,13 +87,13 @@ def test_missing_data_and_broken_json(spark, store, tmp_path):
 
 
 def test_story_and_input_text(spark, sample, store):
-    sample["data"][0]["story"] = ["  Có một khối ", "", " 　", "tên là A. "]
+    sample["data"][1]["story"] = ["  Có một khối ", "", " 　", "tên là A. "]
     sample["data"].append({"story": "\x1c một chuỗi \n", "questions": [{"q_type": "CO", "question": "Hỏi?", "candidate_answers": ["a", "b"], "answer": 1}]})
     rows = {r.key: r for r in encoder_inputs(read_questions(spark, store("a.json", sample), lenient=True)).collect()}
-    assert rows["0:0"].text == "Câu chuyện: Có một khối tên là A.\nCâu hỏi: Does A hold a disc?"
+    assert rows["1:1"].text == "Câu chuyện: Có một khối tên là A.\nCâu hỏi: Is dock B full?"
     assert rows["0:1"].text.endswith("\nCác lựa chọn: 0 | 1 | 2 | 3 | 4 | 5 | 6 | 7")
-    assert rows["1:0"].text == "Câu chuyện: một chuỗi\nCâu hỏi: Hỏi?\nCác lựa chọn: a | b"
-    assert rows["1:0"].candidates == ["a", "b"] and rows["1:0"].gold == ["1"] and rows["1:0"].labels.co_label == 1
+    assert rows["3:0"].text == "Câu chuyện: một chuỗi\nCâu hỏi: Hỏi?\nCác lựa chọn: a | b"
+    assert rows["3:0"].candidates == ["a", "b"] and rows["3:0"].gold == ["1"] and rows["3:0"].labels.co_label == 1
 
 
 def test_candidate_texts(spark):
@@ -115,7 +114,7 @@ def test_missing_story_is_empty(spark):
 
 
 def test_training_needs_answers(spark, sample, store):
-    for question in sample["data"][0]["questions"]:
+    for question in (q for story in sample["data"] for q in story["questions"]):
         del question["answer"]
     with pytest.raises(ValueError):
         training_inputs(read_questions(spark, store("a.json", sample)))
@@ -135,30 +134,30 @@ def _read_back(folder):
 
 
 def test_fresh_export_strips_gold_and_keeps_the_rest(spark, sample, store, tmp_path):
-    sample["data"][0]["note"] = {"kept": [1, "x", None]}
+    sample["data"][2]["note"] = {"kept": [1, "x", None]}
     sample["data"].append({"story": ["no", "questions"], "questions": []})
     sample["data"].append({"story": "later", "questions": [{"q_type": "CO", "question": "?", "candidate_answers": [], "answer": [1]}]})
-    path = store("sample.json", sample)
+    path = store("harbour.json", sample)
     before = json.loads(open(path, encoding="utf-8").read())
     stories = read_documents(spark, path)
     source = stories.first().source_file
-    predictions = _predictions(spark, source, [(0, 0, ["Yes"]), (0, 1, [2]), (0, 2, [])])
+    predictions = _predictions(spark, source, [(1, 2, ["Yes"]), (0, 1, [2]), (1, 0, [])])
     for partitions in (1, 3):
         target = str(tmp_path / f"out{partitions}")
         write_documents(export_predictions(stories, predictions, mode="fresh"), target, partitions=partitions)
-        got = _read_back(target)["sample"]
+        got = _read_back(target)["harbour"]
         wanted = copy.deepcopy(before)
         for item in wanted["data"]:
             for question in item["questions"]:
                 question.pop("answer", None)
-        for i, answer in enumerate((["Yes"], [2], [])):
-            wanted["data"][0]["questions"][i]["answer"] = answer
+        for story, i, answer in ((1, 2, ["Yes"]), (0, 1, [2]), (1, 0, [])):
+            wanted["data"][story]["questions"][i]["answer"] = answer
         assert got == wanted
     assert json.loads(open(path, encoding="utf-8").read()) == before
 
 
 def test_overlay_export_keeps_given_answers(spark, sample, store, tmp_path):
-    path = store("sample.json", sample)
+    path = store("harbour.json", sample)
     stories = read_documents(spark, path)
     predicted = spark.createDataFrame(
         [(stories.first().source_file, 0, 1, "FR", ["2", "5"])],
@@ -167,7 +166,7 @@ def test_overlay_export_keeps_given_answers(spark, sample, store, tmp_path):
     write_documents(overlay(stories, predicted), str(tmp_path / "out"), partitions=1)
     wanted = copy.deepcopy(sample)
     wanted["data"][0]["questions"][1]["answer"] = [2, 5]
-    assert _read_back(str(tmp_path / "out"))["sample"] == wanted
+    assert _read_back(str(tmp_path / "out"))["harbour"] == wanted
 
 
 def test_long_story_is_split_into_records_and_reads_back_whole(spark, store, tmp_path):

@@ -34,12 +34,12 @@ def _call(answers, log):
         for key in frame["key"]:
             with open(log, "a") as out:
                 out.write(key + "\n")
-            rows.append(json.dumps({"reasoning": "Evidence.", "answer": answers[key]}))
+            rows.append(json.dumps({"reasoning": "It says so.", "answer": answers[key]}))
         n = len(frame)
         return pd.DataFrame(
             {
                 "source_file": frame["source_file"], "key": frame["key"], "response_id": ["r"] * n, "response_model": ["m"] * n,
-                "usage": [{"prompt_tokens": 10, "completion_tokens": 5, "total_tokens": 15}] * n,
+                "usage": [{"prompt_tokens": 7, "completion_tokens": 2, "total_tokens": 9}] * n,
                 "finish_reason": ["stop"] * n, "refusal": [None] * n, "content": rows,
             }
         )
@@ -47,29 +47,28 @@ def _call(answers, log):
     return call
 
 
-def test_resumed_run(spark, sample, tmp_path):
-    path, run, calls = str(tmp_path / "data.json"), str(tmp_path / "run"), str(tmp_path / "calls")
+RIGHT = {"0:0": [3], "0:1": [0, 4], "1:0": ["C", "A"], "1:1": ["No"], "1:2": ["DK"]}
+
+
+def test_later_runs_ask_only_what_is_open(spark, sample, tmp_path):
+    path, run, calls = str(tmp_path / "data.json"), str(tmp_path / "run"), tmp_path / "calls"
     with open(path, "w") as out:
         json.dump(sample, out)
-    open(calls, "w").close()
-    config = RunConfig("https://models.example/", "m", "p", "0" * 64)
-    call = _call({"0:0": ["Yes"], "0:1": [7], "0:2": [], "0:3": [0]}, calls)
+    calls.touch()
+    config = RunConfig("https://models.example/", "first-model", "p", "0" * 64)
     questions = read_questions(spark, path)
-    ask(prefix(questions, 2), config, run, call)
-    assert sorted(open(calls).read().split()) == ["0:0", "0:1"]
-    ask(questions, config, run, call)
-    assert sorted(open(calls).read().split()) == ["0:0", "0:1", "0:2", "0:3"]
-    ask(questions, config, run, call)
-    assert len(open(calls).read().split()) == 4
-    with pytest.raises(ValueError, match="temperature"):
-        ask(questions, RunConfig("https://models.example/", "m", "p", "0" * 64, temperature=0.2), run, call)
+    given = {**RIGHT, "0:1": [4]}
+    for chosen, asked in (("story_index = 1", 3), ("q_type in ('YN', 'FR')", 4), ("true", 5), ("true", 5)):
+        ask(questions.filter(chosen), config, run, _call(given, str(calls)))
+        assert len(calls.read_text().split()) == asked
+    assert set(calls.read_text().split()) == set(RIGHT)
+    with pytest.raises(ValueError, match="model"):
+        ask(questions, RunConfig("https://models.example/", "second-model", "p", "0" * 64), run, _call(given, str(calls)))
     report = finish(spark, path, run).first()
-    assert report.status == "complete" and report.usage_all_attempts.total_tokens == 60
-    assert all((m.accuracy if m.accuracy is not None else m.exact_match) == 1.0 for m in report.by_task.values())
+    assert report.status == "complete" and report.usage_all_attempts.total_tokens == 5 * 9
+    assert (report.by_task["FR"].exact_match, report.by_task["FR"].jaccard, report.by_task["YN"].accuracy) == (0.0, 0.5, 1.0)
     back = read_questions(spark, f"{run}/predictions", layout="stories")
-    assert {r.key: r.a for r in back.select("key", F.to_json("answer").alias("a")).collect()} == {
-        "0:0": '["Yes"]', "0:1": "[7]", "0:2": "[]", "0:3": "[0]",
-    }
+    assert {r.key: json.loads(r.a) for r in back.select("key", F.to_json("answer").alias("a")).collect()} == given
 
 
 def test_log_without_settings_is_refused(spark, sample, tmp_path):
@@ -89,13 +88,13 @@ def test_failed_attempts_are_asked_again(spark, sample, tmp_path):
     open(calls, "w").close()
     config = RunConfig("https://models.example/", "m", "p", "0" * 64)
     questions = read_questions(spark, path)
-    ask(questions, config, run, _call({"0:0": ["maybe"], "0:1": [7], "0:2": [], "0:3": [0]}, calls))
+    ask(questions, config, run, _call({**RIGHT, "1:1": ["maybe"]}, calls))
     report = finish(spark, path, run).first()
-    assert (report.status, report.coverage) == ("partial", 0.75)
-    ask(questions, config, run, _call({"0:0": ["No"]}, calls))
-    assert Counter(open(calls).read().split())["0:0"] == 2
+    assert (report.status, report.coverage) == ("partial", 0.8)
+    ask(questions, config, run, _call({"1:1": ["Yes"]}, calls))
+    assert Counter(open(calls).read().split())["1:1"] == 2
     report = finish(spark, path, run).first()
-    assert report.status == "complete" and report.by_task["YN"].accuracy == 0.0 and report.usage_all_attempts.total_tokens == 75
+    assert report.status == "complete" and report.by_task["YN"].accuracy == 0.5 and report.usage_all_attempts.total_tokens == 6 * 9
 
 
 def _log(spark, rows):
@@ -203,13 +202,15 @@ def test_positions_with_a_hot_story(spark):
     assert [r.position for r in ordered] == list(range(1, 3001)) and {r.selected for r in rows} == {3000}
 
 
-def test_prefix_is_the_same_by_either_way(spark, monkeypatch):
-    from answerframe.operators import select
-
-    questions = _many(spark, 500, hot=3)
-    short = [r.key for r in prefix(questions, 120).collect()]
-    monkeypatch.setattr(select, "_TOP_N_BOUND", 10)
-    assert sorted(r.key for r in prefix(questions, 120).collect()) == sorted(short)
+def test_prefix_is_the_first_by_position(spark):
+    rows = [(f, f"{i:03d}", i) for f in ("b", "a") for i in range(100)]
+    questions = spark.createDataFrame(rows, "source_file string, key string, selected int").selectExpr(
+        "source_file", "key", "cast(selected as bigint) as story_index", "0L as question_index", "selected"
+    ).repartition(5)
+    for n in (1, 120, 500):
+        got = prefix(questions, n)
+        assert "selected" in got.columns
+        assert sorted((r.source_file, r.key) for r in got.collect()) == sorted((f, k) for f, k, _ in rows)[:n]
     with pytest.raises(ValueError):
         prefix(questions, 0)
 
@@ -258,3 +259,14 @@ def test_heads_learn_separable_labels(spark):
     assert models["fb2"] is None
     wrong = predict(apply_heads(frame, models)).filter(F.array_sort("prediction") != F.array_sort("gold"))
     assert wrong.count() == 0
+
+
+def test_a_run_over_story_lines(spark, tmp_path):
+    path, run = tmp_path / "in", str(tmp_path / "run")
+    path.mkdir()
+    story = {"story": "Two kites.", "questions": [{"q_type": "YN", "question": "One?", "candidate_answers": [], "answer": ["No"]}]}
+    (path / "part.json").write_text(json.dumps({"source_file": "kites.json", "dataset_name": "kites", "story_index": 0, "first_question": 0, "item": story}) + "\n")
+    questions = read_questions(spark, str(path), layout="stories")
+    ask(questions, RunConfig("https://models.example/", "m", "p", "0" * 64), run, _call({"0:0": ["No"]}, str(tmp_path / "calls")))
+    report = finish(spark, str(path), run, layout="stories", evaluation="trial").first()
+    assert (report.status, report.evaluation, report.by_task["YN"].accuracy) == ("complete", "trial", 1.0)

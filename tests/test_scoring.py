@@ -30,28 +30,28 @@ def _by_task(frame):
 
 def test_answered_only_scores(spark):
     rows = [
-        ("YN", ["Yes"], ["Yes"]), ("YN", ["DK"], ["No"]), ("CO", ["2"], ["2"]), ("FR", ["5", "2"], ["2", "5"]),
-        ("FR", ["2"], ["2", "5"]), ("FB", [], []), ("FB", ["A"], ["A", "B"]), ("FB", None, []), ("YN", ["Yes"], None),
+        ("CO", ["3"], ["1"]), ("CO", ["1"], ["1"]), ("CO", ["0"], ["0"]), ("CO", ["2"], None), ("YN", ["No"], ["No"]), ("YN", None, ["DK"]),
+        ("FR", ["0", "4", "6"], ["4"]), ("FB", ["C"], ["C"]), ("FB", ["A", "C"], ["B"]), ("FB", None, ["A"]),
     ]
     got = _by_task(score(spark.createDataFrame(rows, PAIRS), missing="skip"))
-    assert got == {
-        "YN": {"q_type": "YN", "count": 2.0, "accuracy": 0.5, "exact_match": None, "jaccard": None},
-        "CO": {"q_type": "CO", "count": 1.0, "accuracy": 1.0, "exact_match": None, "jaccard": None},
-        "FR": {"q_type": "FR", "count": 2.0, "accuracy": None, "exact_match": 0.5, "jaccard": 0.75},
-        "FB": {"q_type": "FB", "count": 2.0, "accuracy": None, "exact_match": 0.5, "jaccard": 0.75},
-    }
+    assert {t: r["count"] for t, r in got.items()} == {"CO": 3, "YN": 1, "FR": 1, "FB": 2}
+    assert got["CO"]["accuracy"] == pytest.approx(2 / 3) and got["YN"]["accuracy"] == 1.0 and got["YN"]["jaccard"] is None
+    assert (got["FR"]["exact_match"], got["FR"]["jaccard"], got["FR"]["accuracy"]) == (0.0, pytest.approx(1 / 3), None)
+    assert (got["FB"]["exact_match"], got["FB"]["jaccard"]) == (0.5, 0.5)
     assert score(spark.createDataFrame([], PAIRS), missing="skip").count() == 0
 
 
 def test_question_scores(spark):
-    rows = [("FR", [], []), ("FR", [], ["A"]), ("FR", ["0", "2"], ["2", "5"]), ("FR", ["2", "0", "0"], ["0", "2"]), ("CO", ["0"], ["1"])]
+    """All pairs of subsets of three labels, written in any order and with repeats."""
+    subsets = [[x for k, x in enumerate("361") if bits >> k & 1] for bits in range(8)]
+    rows = [("FR", p[::-1] + p[:1], g) for p in subsets for g in subsets]
     frame = spark.createDataFrame(rows, PAIRS)
-    got = frame.select(
-        set_jaccard(F.col("prediction"), F.col("gold")).alias("j"),
-        answer_matches(F.col("q_type"), F.col("prediction"), F.col("gold")).alias("m"),
-    ).collect()
-    assert [r.j for r in got] == [1.0, 0.0, 1 / 3, 1.0, 0.0]
-    assert [r.m for r in got] == [True, False, False, True, False]
+    got = frame.select("*", set_jaccard(F.col("prediction"), F.col("gold")).alias("j"), answer_matches(F.col("q_type"), F.col("prediction"), F.col("gold")).alias("m"))
+    for r in got.collect():
+        p, g = set(r.prediction), set(r.gold)
+        assert r.j == pytest.approx(len(p & g) / len(p | g) if p | g else 1.0) and r.m == (p == g)
+    single = spark.createDataFrame([("CO", ["2"], ["3"]), ("YN", ["DK"], ["DK"])], PAIRS)
+    assert [r[0] for r in single.select(answer_matches(F.col("q_type"), F.col("prediction"), F.col("gold"))).collect()] == [False, True]
 
 
 def test_missing_is_wrong_even_for_empty_gold(spark):
@@ -117,16 +117,19 @@ def test_macro_primary_and_per_file(spark):
 
 
 def test_run_report(spark):
-    rows = [("YN", ["Yes"], ["Yes"]), ("FR", ["2"], ["2", "5"]), ("FB", [], []), ("CO", None, ["0"])]
+    rows = [
+        ("FR", ["1", "6"], ["1", "6"]), ("FR", None, ["0"]), ("CO", ["1"], ["2"]), ("FB", ["B", "C"], ["C"]), ("FB", ["A"], ["A"]),
+        ("YN", None, ["DK"]), ("CO", ["3"], None), ("CO", ["0"], ["0"]),
+    ]
     attempts = spark.createDataFrame(
-        [(("a"), (10, 5, 15)), ("b", None), ("c", (1, None, 1))],
+        [("a", (40, 2, 42)), ("b", None), ("c", (3, None, 3))],
         "key string, usage struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>",
     )
-    report = run_report(spark.createDataFrame(rows, PAIRS), attempts).first()
-    assert (report.selected_questions, report.answered_questions, report.coverage, report.status) == (4, 3, 0.75, "partial")
-    assert report.by_task["YN"].accuracy == 1.0 and report.by_task["FR"].exact_match == 0.0
-    assert report.by_task["FR"].jaccard == 0.5 and report.by_task["FB"].jaccard == 1.0 and report.by_task["CO"].accuracy == 0.0
-    assert report.usage_all_attempts.asDict() == {"prompt_tokens": 11, "completion_tokens": 5, "total_tokens": 16}
+    report = run_report(spark.createDataFrame(rows, PAIRS), attempts, evaluation="trial").first()
+    assert (report.selected_questions, report.answered_questions, report.coverage, report.status) == (8, 6, 0.75, "partial") and report.evaluation == "trial"
+    assert report.by_task["YN"].accuracy == 0.0 and report.by_task["FR"].exact_match == 0.5 and report.by_task["FR"].jaccard == 0.5
+    assert report.by_task["FB"].jaccard == 0.75 and report.by_task["CO"].accuracy == 0.5 and report.by_task["CO"]["count"] == 2
+    assert report.usage_all_attempts.asDict() == {"prompt_tokens": 43, "completion_tokens": 2, "total_tokens": 45}
     nothing = run_report(spark.createDataFrame([], PAIRS)).first()
     assert (nothing.selected_questions, nothing.coverage, nothing.by_task) == (0, 0.0, {})
     unlabelled = run_report(spark.createDataFrame([("YN", ["Yes"], None)], PAIRS)).first()
