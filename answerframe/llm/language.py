@@ -73,9 +73,9 @@ def _grams(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     inside = ~breaks[1:-1]
     # The whole word as one more gram: a sum over its letters and their places.
     starts = np.flatnonzero(breaks)[:-1]
-    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+    place = np.arange(len(codes) - 1) - np.repeat(starts, np.diff(np.append(starts, len(codes) - 1)))
     powers = (place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0x2545F4914F6CDD1D)
-    whole = np.add.reduceat(c * powers * powers, starts)
+    whole = np.add.reduceat(c[:-1] * powers * powers, starts)
     values = np.concatenate([mixed[inside], whole])
     values ^= values >> np.uint64(29)
     values *= np.uint64(0xBF58476D1CE4E5B9)
