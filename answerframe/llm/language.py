@@ -109,15 +109,25 @@ def train(docs: DataFrame, max_rows: int = 20_000, bits: int = 17, penalty: floa
 
     # Each partition gives a row for each bucket it saw; the sum has at most a table's rows for each language.
     counted = sample.mapInPandas(count, "lang string, kind string, bucket long, n long")
-    total = counted.groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    summed = counted.groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (lang, kind), own in batch.groupby(["lang", "kind"], sort=False):
+                packed = (own[c].to_numpy(dtype=np.int64).tobytes() for c in ("bucket", "n"))
+                yield pd.DataFrame([(lang, kind, *packed)], columns=["lang", "kind", "bucket", "n"])
+
+    # The driver gets a few long rows of numbers instead of one row object for each count.
+    total = summed.mapInPandas(pack, "lang string, kind string, bucket binary, n binary").toPandas()
     languages = sorted(total["lang"].unique())
     table = np.full((1 << bits, len(languages)), smoothing)
     scripts = np.zeros((len(languages), len(SCRIPTS)))
-    for i, lang in enumerate(languages):
-        own = total[total["lang"] == lang]
-        g, s = own[own["kind"] == "gram"], own[own["kind"] == "script"]
-        table[g["bucket"].to_numpy(), i] += g["n"].to_numpy()
-        scripts[i, s["bucket"].to_numpy()] = s["n"].to_numpy()
+    for lang, kind, bucket, n in total.itertuples(index=False):
+        at, counts, i = np.frombuffer(bucket, dtype=np.int64), np.frombuffer(n, dtype=np.int64), languages.index(lang)
+        if kind == "gram":
+            table[at, i] += counts
+        else:
+            scripts[i, at] += counts
     scores = np.log(table / table.sum(axis=0)) if languages else table
     used = scripts >= 0.01 * scripts.sum(axis=1, keepdims=True) if languages else scripts > 0
     return Model(languages, scores.astype(np.float32), used, bits, penalty)
