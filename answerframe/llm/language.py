@@ -201,22 +201,30 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
-def _predict(texts: list[str | None], scorer: _Scorer) -> Iterator[tuple[str, float, list[dict]]]:
+def _predict(texts: list[str | None], scorer: _Scorer, part_chars: int = 500_000) -> Iterator[tuple[str, float, list[dict]]]:
     model = scorer.model
-    found = [_WORD.findall(t.lower()) if t and model.languages else [] for t in texts]
-    words = [w for ws in found for w in ws]
-    rows = scorer.rows(words)
-    doc = np.repeat(np.arange(len(found)), [len(ws) for ws in found])
-    ordinal = np.arange(len(words)) - np.repeat(np.cumsum([len(ws) for ws in found]) - [len(ws) for ws in found], [len(ws) for ws in found])
-    letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    keep = rows >= 0
-    rows, doc, ordinal, letters = rows[keep], doc[keep], ordinal[keep], letters[keep]
-    lengths = np.bincount(doc, minlength=len(found))
-    labels = viterbi(scorer.table[rows], lengths, model.penalty)
+    # Words are kept as scores and lengths; their strings live for a small part of the texts at a time.
+    found = []
+    for part in blocks(texts, part_chars):
+        split = [_WORD.findall(t.lower()) if t and model.languages else [] for t in texts[part]]
+        words = [w for ws in split for w in ws]
+        rows, sizes = scorer.rows(words), np.array([len(ws) for ws in split])
+        keep = rows >= 0
+        ordinal = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        letters = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
+        doc = np.repeat(np.arange(part.start, part.stop), sizes)
+        found.append((scorer.table[rows[keep]], doc[keep].astype(np.int32), ordinal[keep].astype(np.int32), letters[keep]))
+        del split, words
+    if not found:
+        return
+    scores, doc, ordinal, letters = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    lengths = np.bincount(doc, minlength=len(texts))
+    labels = viterbi(scores, lengths, model.penalty)
     n = len(model.languages)
-    mass = np.bincount(doc * max(1, n) + labels, weights=letters, minlength=len(found) * max(1, n)).reshape(len(found), max(1, n))
+    mass = np.bincount(doc.astype(np.int64) * max(1, n) + labels, weights=letters, minlength=len(texts) * max(1, n)).reshape(len(texts), max(1, n))
     ends = np.cumsum(lengths)
-    for i in range(len(found)):
+    for i in range(len(texts)):
         if not lengths[i]:
             yield UNDETERMINED, 0.0, []
             continue
