@@ -27,8 +27,21 @@ from answerframe.session import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MASK = "[SECRET]"
 
+# Rows of documents that a Python worker holds at once. Five stages in one session keep their workers
+# for a while, so their batches add up; Spark's own bound in bytes still holds for long texts.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``; a smaller setting stays."""
+    now = int(spark.conf.get(_BATCH))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = language.train(docs)
     if not model.languages:
@@ -37,6 +50,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     kept = near_duplicates.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
@@ -45,6 +59,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     # Rows are told apart by id and text, so that a leak takes no other row along, not even one without an id.
     keyed = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
     found = decontaminate.leaks(keyed.select(F.col("row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
@@ -52,6 +67,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     masked = secrets.scan(docs, secrets.train(docs), mask=MASK)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
