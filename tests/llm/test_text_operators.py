@@ -122,6 +122,15 @@ def test_language_edges(spark, two_languages):
     assert {r.lang_pred for r in language.identify(docs_of(spark, EDGE), nothing).collect()} == {"und"}
 
 
+def test_predictions_do_not_depend_on_batches(two_languages):
+    texts = ["the garden und die katze", None, "", "quiet", "der hund the house hund", "12 \u00b2"] * 3
+    predict = lambda part, **o: list(language._predict(part, language._Scorer(two_languages), **o))
+    whole = predict(texts)
+    assert whole == [p for t in texts for p in predict([t])] == predict(texts, part_chars=10)
+    first, alone = (language._grams(w, 17) for w in (["katze", "hund"], ["katze"]))
+    assert set(first[0][first[1] == 0]) == set(alone[0][alone[1] == 0])
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
