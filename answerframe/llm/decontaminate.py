@@ -1,11 +1,14 @@
 """Benchmark decontamination: every passage of the training texts is a query to an index of test items.
 
 The items are the small side: an inverted index with BM25 impacts, in which each item's impacts
-are scaled so that the item itself scores 1. Every passage (windows of words that overlap by
-half) is run against it by block-max WAND, which retrieves all items at or above ``retrieve``.
+are scaled so that the item itself scores 1. Every passage (four pieces of a text
+in a row, of which three are longer than the longest item) is run against it by block-max WAND, which
+retrieves all items at or above ``retrieve``. An item of which ``overlap`` of the shingles could
+be met at a lower score is raised by a factor of its own, so that no such passage is missed.
 Retrieved pairs are verified on five-word shingles of the text around the passage: a pair is a
-leak if it holds at least ``overlap`` of the item's question shingles and of those that reach
-into its answer. The answer is the item's last quarter of words.
+leak if it holds at least ``overlap`` of the item's shingles, wherever the others were lost, and
+half of the words of its answer. The answer is the item's last quarter of words: a question
+without its answer is no leak. The shares of question and answer shingles are only reported.
 
 Items are indexed in blocks of about ``block_items`` (chosen by a hash), each broadcast for one
 pass over the texts, so what is broadcast stays bounded however many items there are. Document
@@ -58,28 +61,46 @@ class Index:
     block_most: list[list[float]]
     group_most: np.ndarray  # terms x groups of items, the largest impact in each
     window: int
+    raised: list[float]  # the factor of each item's impacts
     block: int = 16
     parts: dict = field(default_factory=dict)
 
-    def question_and_answer(self, item: int) -> tuple[int, set[bytes], set[bytes]]:
-        """Words in a shingle, shingles within the question, and those that reach into the answer."""
+    def question_and_answer(self, item: int) -> tuple[int, set[bytes], set[bytes], set[bytes]]:
+        """Words in a shingle, shingles within the question, those that reach into the answer, and its words."""
         if item not in self.parts:
             words = self.words[item]
-            size = min(SHINGLE, len(words))
-            question = shingles(words[: -max(1, len(words) // 4)], size)
-            self.parts[item] = (size, question, shingles(words, size) - question)
+            size, cut = min(SHINGLE, len(words)), -max(1, len(words) // 4)
+            question = shingles(words[:cut], size)
+            self.parts[item] = (size, question, shingles(words, size) - question, set(words[cut:]))
         return self.parts[item]
 
 
+def least_score(words: list[bytes], impact: dict[bytes, float], overlap: float) -> float:
+    """A score that any text with ``overlap`` of an item's shingles reaches.
+
+    Each lost place costs a lost shingle at least; a word is lost with all of its places. Of distinct
+    shingles each may stand for several places, so all of their places count as lost.
+    """
+    size = min(SHINGLE, len(words))
+    times = Counter(b" ".join(words[i : i + size]) for i in range(len(words) - size + 1))
+    lost = len(times) - math.ceil(overlap * len(times) - 1e-9)
+    places = sum(n for _, n in times.most_common(lost))
+    own = Counter(words)
+    heavy = sorted((impact[w] / own[w] for w in words), reverse=True)
+    return max(1e-6, 1.0 - sum(heavy[:places]) - 1e-9)
+
+
 def build(
-    ids: list, texts: list[str | None], frequency: dict[bytes, int], n_items: int, k1: float = 0.9, b: float = 0.4, groups: int = 64
-) -> Index:
+    ids: list, texts: list[str | None], frequency: dict[bytes, int], n_items: int, k1: float = 0.9, b: float = 0.4, groups: int = 64,
+    retrieve: float = 0.0, overlap: float = 1.0,
+) -> Index:
     # Items of about the same length are neighbours, since their impacts are of about the same size.
     order = sorted(range(len(ids)), key=lambda i: len(texts[i] or ""))
     ids, words = [ids[i] for i in order], [plain_words(texts[i]) for i in order]
     average = sum(map(len, words)) / max(1, len(words)) or 1.0
     terms: dict[bytes, int] = {}
     postings: list[list[tuple[int, float]]] = []
+    raised = []
     for item, ws in enumerate(words):
         raw = {}
         for w, tf in Counter(ws).items():
@@ -87,11 +108,12 @@ def build(
             idf = math.log(1 + (n_items - df + 0.5) / (df + 0.5))
             raw[w] = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ws) / average))
         total = sum(raw.values())
+        raised.append(max(1.0, retrieve / least_score(ws, {w: x / total for w, x in raw.items()}, overlap)) if ws else 1.0)
         for w, x in raw.items():
             if w not in terms:
                 terms[w] = len(terms)
                 postings.append([])
-            postings[terms[w]].append((item, x / total))
+            postings[terms[w]].append((item, x / total * raised[item]))
     impacts = [np.array([x for _, x in p]) for p in postings]
     group_most = np.zeros((len(terms), min(groups, max(1, len(ids)))), dtype=np.float32)
     for t, p in enumerate(postings):
@@ -100,7 +122,7 @@ def build(
             group_most[t, g] = max(group_most[t, g], x)
     return Index(
         ids, words, terms, [np.array([i for i, _ in p]) for p in postings], impacts, np.array([x.max() for x in impacts] or [0.0]),
-        [[float(x[k : k + 16].max()) for k in range(0, len(x), 16)] for x in impacts], group_most, max(64, max(map(len, words), default=0)),
+        [[float(x[k : k + 16].max()) for k in range(0, len(x), 16)] for x in impacts], group_most, max(64, max(map(len, words), default=0) * 9 // 8), raised,
     )
 
 
@@ -173,42 +195,48 @@ def search(texts: list[str | None], index: Index, retrieve: float, overlap: floa
     sizes = np.array([len(ws) for ws in split])
     get = index.terms.get
     term = np.fromiter((get(w, -1) for ws in split for w in ws), dtype=np.int64, count=int(sizes.sum()))
-    # Half windows are numbered through all texts; those of one text follow each other.
-    half = index.window // 2
-    per_text = -(-sizes // half)
-    first_half = np.cumsum(per_text) - per_text
+    # Pieces of windows are numbered through all texts; those of one text follow each other.
+    piece = -(-index.window // 3)
+    per_text = -(-sizes // piece)
+    first_piece = np.cumsum(per_text) - per_text
     starts = np.cumsum(sizes) - sizes
     at = np.flatnonzero(term >= 0)
     owner = np.repeat(np.arange(len(texts)), sizes)[at]
-    halves = first_half[owner] + (at - starts[owner]) // half
-    pairs = np.unique(halves * len(index.terms) + term[at]) if len(at) else np.zeros(0, dtype=np.int64)
-    pair_half, pair_term = pairs // max(1, len(index.terms)), pairs % max(1, len(index.terms))
-    n_halves = int(per_text.sum())
+    pieces = first_piece[owner] + (at - starts[owner]) // piece
+    pairs = np.unique(pieces * len(index.terms) + term[at]) if len(at) else np.zeros(0, dtype=np.int64)
+    pair_piece, pair_term = pairs // max(1, len(index.terms)), pairs % max(1, len(index.terms))
+    n_pieces = int(per_text.sum())
     text_of = np.repeat(np.arange(len(texts)), per_text)
-    # A window is a half and its successor in the same text. If no group of items can reach the
-    # threshold with all of the window's terms, no pivot exists in any, and nothing is searched.
-    follows = np.append(text_of[1:] == text_of[:-1], False) if n_halves else np.zeros(0, dtype=bool)
-    bound = np.zeros((n_halves + 1, index.group_most.shape[1]), dtype=np.float32)
-    filled, begin = np.unique(pair_half, return_index=True)
+    # A window is a piece and its three successors, as far as they are in the same text. If no group of items can
+    # reach the threshold with all of the window's terms, no pivot exists in any, and nothing is searched.
+    ends = np.minimum(np.arange(n_pieces) + 4, (first_piece + per_text)[text_of])
+    bound = np.zeros((n_pieces, index.group_most.shape[1]), dtype=np.float32)
+    filled, begin = np.unique(pair_piece, return_index=True)
     for k in range(0, len(filled), 4096):
         upto = begin[k + 4096] if k + 4096 < len(filled) else len(pairs)
         bound[filled[k : k + 4096]] = np.add.reduceat(index.group_most[pair_term[begin[k] : upto]], begin[k : k + 4096] - begin[k], axis=0)
-    whole = np.where(follows[:, None], bound[:-1] + bound[1:], bound[:-1]).max(axis=1, initial=0.0) + 1e-6
-    edges = np.searchsorted(pair_half, np.arange(n_halves + 1))
+    total = bound.copy()
+    for k in range(1, 4):
+        inside = np.flatnonzero(ends > np.arange(n_pieces) + k)
+        total[inside] += bound[inside + k]
+    whole = total.max(axis=1, initial=0.0) + 1e-6
+    edges = np.searchsorted(pair_piece, np.arange(n_pieces + 1))
     done: set[tuple[int, int, int]] = set()
     for h in np.flatnonzero(whole >= retrieve):
-        query = np.unique(pair_term[edges[h] : edges[h + (2 if follows[h] else 1)]])
+        query = np.unique(pair_term[edges[h] : edges[ends[h]]])
         if index.group_most[query].sum(axis=0).max(initial=0.0) + 1e-6 < retrieve:
             continue
         t = int(text_of[h])
-        place = (h - first_half[t]) * half
+        place = (h - first_piece[t]) * piece
         for item, score in block_max_wand(index, query.tolist(), retrieve):
-            size, question, answer = index.question_and_answer(item)
-            near = shingles(split[t][max(0, place - index.window) : place + 2 * index.window], size)
+            size, question, answer, answer_words = index.question_and_answer(item)
+            text = split[t][max(0, place - 2 * piece) : place + 6 * piece]
+            near = shingles(text, size)
             q, a = (len(x & near) / len(x) if x else 1.0 for x in (question, answer))
-            if q >= overlap and a >= overlap and (t, item) not in done:
+            whole = len(question & near) + len(answer & near) >= overlap * (len(question) + len(answer)) - 1e-9
+            if whole and 2 * len(answer_words.intersection(text)) >= len(answer_words) and (t, item) not in done:
                 done.add((t, item))
-                yield t, item, score, q, a
+                yield t, item, score / index.raised[item], q, a
 
 
 def leaks(
@@ -236,7 +264,7 @@ def leaks(
         own = numbered.filter(F.col("block") == k).orderBy("spread", "item_id").toPandas()
         known = words.filter(F.col("block") == k).select("word").distinct().join(frequency, "word").toPandas()
         table = {w.encode(): int(n) for w, n in zip(known["word"], known["n"], strict=True)}
-        shared = spark.sparkContext.broadcast(build(own["item_id"].tolist(), own["text"].tolist(), table, n_items))
+        shared = spark.sparkContext.broadcast(build(own["item_id"].tolist(), own["text"].tolist(), table, n_items, retrieve=retrieve, overlap=overlap))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value
