@@ -4,8 +4,10 @@ A bounded sample of vectors (``sample``, chosen by a hash of the id) is split ag
 the median between two means, so that every list gets about equally many; the lists' centres are
 few (``max_lists`` at most) and are broadcast with a graph of their nearest centres. Every
 vector is put on the list of its nearest centre and, if it lies near a border, on those of
-further centres within a distance ratio. A query walks the graph, takes the centres within a
-larger ratio, and is compared with all vectors of their lists in double precision.
+further centres within a distance ratio. A query takes the centres within a larger ratio, a share
+of all lists at most, so that recall does not fall as lists become more; so many are found by
+a scan of all centres, fewer by a walk of the graph. It is compared with all vectors of their
+lists in double precision. Queries that got fewer than ``k`` results ask all lists.
 
 Lists are dealt in chunks of bounded size by a hash of the vector, and so are the queries of a
 list, so no task holds a whole list however the vectors are spread. Bit-equal vectors are
@@ -74,9 +76,17 @@ class Graph:
     def nearest(self, x: np.ndarray, n: int, breadth: int = 128) -> tuple[np.ndarray, np.ndarray]:
         """Centres and cosines, best first, for each row: best-first walks of all rows in step.
 
-        Each walk keeps its ``breadth`` best centres and visits the best one it has not visited.
+        Each walk keeps its ``breadth`` best centres and visits the best one it has not visited. If more
+        than that are asked for, all centres are compared instead.
         """
-        breadth = min(max(breadth, n), len(self.centres))
+        if n > breadth:
+            every = x @ self.centres.T
+            n = min(n, len(self.centres))
+            ids = np.argpartition(-every, n - 1, axis=1)[:, :n]
+            cosines = np.take_along_axis(every, ids, axis=1)
+            order = np.lexsort((ids, -cosines), axis=1)
+            return np.take_along_axis(ids, order, axis=1), np.take_along_axis(cosines, order, axis=1)
+        breadth = min(breadth, len(self.centres))
         rows = np.arange(len(x))[:, None]
         seen = np.zeros((len(x), len(self.centres)), dtype=bool)
         ids = np.tile(self.entries, (len(x), 1))
@@ -156,9 +166,12 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: list, vectors: np.n
 
 def search(
     vectors: DataFrame, queries: Column, k: int = 5, list_size: int = 128, max_lists: int = 8192, sample: int = 40_000,
-    replicas: int = 4, replica_ratio: float = 1.1, probes: int = 96, probe_ratio: float = 1.6, chunk: int = 2000,
+    replicas: int = 4, replica_ratio: float = 1.1, probes: int = 96, probe_share: float = 1 / 12, probe_ratio: float = 1.6, chunk: int = 2000,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: nearest rows of ``vec_id, vector`` for those where ``queries`` holds."""
+    """``query_id, rank, vec_id, score``: nearest rows of ``vec_id, vector`` for those where ``queries`` holds.
+
+    A query asks up to ``probes`` lists, or ``probe_share`` of all if these are more.
+    """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "vector", queries.alias("asks")).filter(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -177,7 +190,20 @@ def search(
     graph = link(balanced_centres(x, min(max_lists, max(1, n // list_size), len(x))))
 
     lists = written(_deal(base, graph, replicas, replica_ratio), "ann-lists")
-    asked = written(_deal(distinct.filter("asks").select(F.col("vec_id").alias("query_id"), "vector"), graph, probes, probe_ratio), "ann-queries")
+    asks = distinct.filter("asks").select(F.col("vec_id").alias("query_id"), "vector")
+    most = max(probes, int(np.ceil(probe_share * len(graph.centres))))
+    once = written(_candidates(lists, written(_deal(asks, graph, most, probe_ratio), "ann-queries"), k, chunk), "ann-near")
+    short = asks.select("query_id").distinct().join(once.groupBy("query_id").count().filter(F.col("count") >= k), "query_id", "left_anti")
+    if not short.isEmpty():
+        every = lists.select("list").distinct()
+        again = _candidates(lists, asks.join(short, "query_id", "left_semi").crossJoin(F.broadcast(every)), k, chunk)
+        once = once.join(short, "query_id", "left_anti").unionByName(again)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _candidates(lists: DataFrame, asked: DataFrame, k: int, chunk: int) -> DataFrame:
+    """``query_id, vec_id, score``: the best of every list that a query asks, a candidate once."""
     # Sizes of the lists decide into how many chunks each side of a list is dealt; there are ``max_lists`` at most.
     count = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
     sizes = F.broadcast(count(lists, "parts").join(count(asked, "asked_parts"), "list"))
@@ -202,6 +228,4 @@ def search(
         .applyInPandas(compare, "query_id long, vec_id long, score double")
     )
     # A candidate may come from several lists.
-    once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

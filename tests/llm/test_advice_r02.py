@@ -1,6 +1,9 @@
 """Cases of the second round's advice, each of which failed before."""
 
-from answerframe.llm import decontaminate
+import numpy as np
+from pyspark.sql import functions as F
+
+from answerframe.llm import decontaminate, neighbours
 
 
 def words(n, offset=0):
@@ -34,3 +37,41 @@ def test_two_edits_at_the_end_leak_though_few_answer_shingles_stay():
     edited = item.replace("w33 ", "edit ").replace("w39", "edit")
     (_, _, score, question, answer), = decontaminate.search([f"a b {edited} c"], index, 0.5, 0.75)
     assert question == 1.0 and answer < 0.75 and 0.9 < score < 1.0
+
+
+# --- neighbours ----------------------------------------------------------------------------
+
+
+def test_recall_stays_as_lists_become_more(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8000, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<float>")
+    # 500 lists, of which a fixed number of probes would ask few.
+    got = neighbours.search(frame, F.col("vec_id") % 100 == 0, list_size=16, probes=4).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 8000, 100):
+        cosines = unit @ unit[q]
+        cosines[q] = -9
+        hits += len(set(np.argsort(-cosines)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 400 and hits >= 0.9 * 400
+
+
+def test_all_centres_are_compared_when_many_are_asked_for():
+    rng = np.random.default_rng(9)
+    centres, x = (neighbours._unit(rng.normal(size=(n, 16))).astype(np.float32) for n in (700, 20))
+    ids, cosines = neighbours.link(centres).nearest(x, 300)
+    want = np.sort(x @ centres.T, axis=1)[:, ::-1][:, :300]
+    assert ids.shape == (20, 300) and np.allclose(cosines, want, atol=1e-6)
+
+
+def test_queries_with_few_results_ask_all_lists(spark):
+    rng = np.random.default_rng(10)
+    # Lists of one vector each, and a query that probes two of them only.
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<float>")
+    got = neighbours.search(frame, F.col("vec_id") < 3, list_size=1, probes=2, probe_share=0.0, replicas=1).collect()
+    for q in range(3):
+        a = np.array(rows[q][1])
+        cosines = {i: float(a @ np.array(v) / np.linalg.norm(v)) for i, v in rows if i != q}
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == sorted(cosines, key=cosines.get, reverse=True)[:5]
