@@ -5,11 +5,13 @@ valid as the value was (checksum, octets, calendar), equal values get equal pseu
 every document, and the holder of the key can reverse them. Kinds and their domains:
 
 * card: 13 to 19 digits with a right Luhn digit, single spaces or hyphens between; the digits
-  before the last are permuted and the check digit is computed anew
+  before the last are permuted and the check digit is computed anew. A run of 13 or more digits
+  is one of its own, and neither it nor a social number, a date or a phone with hyphens is taken as a
+  card's part beyond a space, whatever the digits: pseudonyms are found as the values were
 * address: four octets up to 255
 * phone: a ten-digit North American number, area and exchange from 200 on, a country code kept
 * social: ddd-dd-dddd without the areas, groups and serials that are never given
-* date: yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy (as dd/mm/yyyy if only that is a date), 1800 to 2199
+* date (also before a T and a time): yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy (as dd/mm/yyyy if only that is a date), 1800 to 2199
 * mail: the name before the @ keeps its length, case and digits' places; the domain stays
 
 What looks like a value but fails its check stays as it is. Values are found from left to
@@ -29,12 +31,15 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 # The formats.
+_SOLID = r"[0-9]{13,19}(?![0-9A-Za-z]|-[0-9])"
+_HYPHENED = r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-SU-Za-z]|-[0-9])"
+_APART = rf"(?!{_SOLID}|{_HYPHENED})"
 _FORMATS = {
-    "card": r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "card": rf"(?<![0-9A-Za-z.+-])(?:{_SOLID}|{_APART}[0-9](?:(?:-| {_APART})?[0-9]){{12,18}}(?![0-9A-Za-z]))",
     "address": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "social": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "date": r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[-./][0-9])",
+    "date": r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9]{2}:)|[-./][0-9])",
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
 }
 _ANY = "|".join(_FORMATS.values())

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from answerframe.llm import decontaminate, neighbours
+from answerframe.llm import decontaminate, neighbours, pseudonyms
 
 
 def words(n, offset=0):
@@ -75,3 +75,22 @@ def test_queries_with_few_results_ask_all_lists(spark):
         a = np.array(rows[q][1])
         cosines = {i: float(a @ np.array(v) / np.linalg.norm(v)) for i, v in rows if i != q}
         assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == sorted(cosines, key=cosines.get, reverse=True)[:5]
+
+
+# --- pseudonyms ----------------------------------------------------------------------------
+
+
+def test_values_beside_each_other_are_all_found_and_go_back(spark):
+    cases = {
+        "4111111111111111 12/25": ["card"], "12 4111111111111111": ["card"], "2024-01-02 2024-01-03": ["date", "date"],
+        "123-45-6789 987-65-4321": ["social"], "123-45-6789 887-65-4321": ["social", "social"], "1980-05-04 123-45-6789": ["date", "social"],
+        "4111 1111 1111 1111 2024-01-02": ["card", "date"], "269-555-3296 269-555-3297": ["phone", "phone"],
+        "4111 1111 1111 1111 4012888888881881": ["card", "card"], "2020-01-01T10:00": ["date"], "4111-1111-1111-1111": ["card"], "2020-01-01Test": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    made = pseudonyms.pseudonymize(docs, "k")
+    got = {r.doc_id: r for r in made.collect()}
+    assert [got[i].pii for i in range(len(cases))] == list(cases.values())
+    first, second = (got[list(cases).index(t)].text for t in ("123-45-6789 987-65-4321", "1980-05-04 123-45-6789"))
+    assert first.split()[0] == second.split()[1]
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymize(made, "k", back=True).collect()} == dict(enumerate(cases))
