@@ -196,7 +196,8 @@ def search(
     short = asks.select("query_id").distinct().join(once.groupBy("query_id").count().filter(F.col("count") >= k), "query_id", "left_anti")
     if not short.isEmpty():
         every = lists.select("list").distinct()
-        again = _candidates(lists, asks.join(short, "query_id", "left_semi").crossJoin(F.broadcast(every)), k, chunk)
+        again = written(asks.join(short, "query_id", "left_semi").crossJoin(F.broadcast(every)), "ann-again")
+        again = _candidates(lists, again, k, chunk)
         once = once.join(short, "query_id", "left_anti").unionByName(again)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
