@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerframe.llm import (
+    conversation_repair,
     decontaminate,
+    divergence,
     extract,
     language,
     mixing,
@@ -14,6 +16,7 @@ from answerframe.llm import (
     neighbours,
     pseudonyms,
     secrets,
+    token_counts,
     toxicity,
     url_filter,
 )
@@ -92,6 +95,35 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", "pii", F.size("pii").alias("n_values"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    audits, mended = conversation_repair.repair(conversation_repair.damage(given))
+    sums = conversation_repair.digests(mended, in_order=True)
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    known = audits.withColumnRenamed("conv_id", "known_id")
+    summed = sums.withColumnRenamed("conv_id", "summed_id")
+    return (
+        given.select("conv_id").distinct()
+        .join(known, F.col("conv_id").eqNullSafe(F.col("known_id")), "left")
+        .join(summed, F.col("conv_id").eqNullSafe(F.col("summed_id")), "left")
+        .select(
+            "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_extract": op2_extract,
@@ -103,4 +135,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_divergence": op11_divergence,
+    "op12_token_counts": op12_token_counts,
+    "op13_repair_conversations": op13_repair_conversations,
 }
