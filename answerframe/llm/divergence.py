@@ -53,7 +53,8 @@ def terms_of(text: str) -> list[bytes]:
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences and documents of each term in each group.
 
-    Each group also has a row with a null term, whose ``docs`` are all its documents.
+    Each group also has a row with a null term, whose ``docs`` are all its documents. All rows of a
+    language's term are in one partition, as many as the language has sources.
     """
     schema = "lang string, source string, term string, n long, docs long"
     types = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
@@ -90,7 +91,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from emit()
 
     known = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return known.mapInArrow(run, schema).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Dealt out by term and language, one shuffle serves the sums here and those over sources that follow.
+    dealt = known.mapInArrow(run, schema).repartition("term", "lang")
+    return dealt.groupBy("term", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: str, total: str, kept: str) -> F.Column:
@@ -124,7 +127,7 @@ def skyband(first: np.ndarray, second: np.ndarray, third: np.ndarray, k: int, st
 
 
 def _skybands(cells: DataFrame, k: int, most: int = 50_000) -> DataFrame:
-    """The skyband of each group within each partition of ``lang, source, term, n, lang_n``."""
+    """The skyband of each group within each partition of ``lang, source, term, n, lang_n``; other columns go along."""
 
     def reduce(parts: list[pa.Table]) -> pa.Table:
         table = pa.concat_tables(parts).combine_chunks()
@@ -164,79 +167,74 @@ def _skybands(cells: DataFrame, k: int, most: int = 50_000) -> DataFrame:
     return cells.mapInArrow(run, cells.schema)
 
 
-def groups(counts: DataFrame, cells: DataFrame) -> DataFrame:
-    """``lang, source, total, kept, lang_total, ordinal, base`` of every group; ``base`` is its share of an absent term, 0 where no term is kept."""
-    langs = cells.groupBy("lang").agg(F.count_if("opens").alias("kept"), F.sum("n").alias("lang_total"))
-    own = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    ordinal = F.row_number().over(W.Window.partitionBy("lang").orderBy("source")) - 1
-    return (
-        counts.filter("term is null").select("lang", "source")
-        .join(own, ["lang", "source"], "left").join(langs, "lang", "left")
-        .na.fill(0, ["total", "kept", "lang_total"])
-        .withColumn("ordinal", ordinal)
-        .withColumn("base", F.coalesce(share("0", "total", "kept"), F.lit(0)))
-    )
-
-
 def kept_cells(counts: DataFrame, min_docs: int) -> DataFrame:
-    """``lang, source, term, n, lang_n, opens``: the kept terms in each group that has them; ``opens`` marks one row a term."""
-    by_term = W.Window.partitionBy("lang", "term")
+    """``lang, source, term, n, lang_n, opens``: the kept terms in each group that has them; ``opens`` marks one row a term.
+
+    The rows with a null term stay. The term comes first in the sort, since it tells rows apart.
+    """
+    by_term = W.Window.partitionBy("term", "lang")
     return (
-        counts.filter("term is not null")
-        .withColumn("lang_docs", F.sum("docs").over(by_term))
-        .filter(F.col("lang_docs") >= min_docs)
+        counts.withColumn("lang_docs", F.sum("docs").over(by_term))
+        .filter(F.col("term").isNull() | (F.col("lang_docs") >= min_docs))
         .withColumn("lang_n", F.sum("n").over(by_term))
         .withColumn("opens", F.row_number().over(by_term.orderBy("source")) == 1)
         .select("lang", "source", "term", "n", "lang_n", "opens")
     )
 
 
-def terms(cells: DataFrame, groups: DataFrame, ranks: int) -> DataFrame:
+def groups(cells: DataFrame) -> DataFrame:
+    """``lang, source, total, kept, lang_total, ordinal, base`` of every group; ``base`` is its share of an absent term, 0 where no term is kept."""
+    langs = cells.groupBy("lang").agg(F.count_if(F.col("opens") & F.col("term").isNotNull()).alias("kept"), F.sum("n").alias("lang_total"))
+    own = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    ordinal = F.row_number().over(W.Window.partitionBy("lang").orderBy("source")) - 1
+    return (
+        own.join(langs, "lang").withColumn("ordinal", ordinal).withColumn("base", F.coalesce(share("0", "total", "kept"), F.lit(0)))
+    )
+
+
+def with_shares(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """The cells of kept terms with ``p``, ``q``, and the group's ``ordinal``."""
+    known = groups.select("lang", "source", "total", "kept", "lang_total", "ordinal")
+    return cells.filter("term is not null").join(known, ["lang", "source"]).select(
+        "lang", "source", "term", "n", "lang_n", "ordinal",
+        share("n", "total", "kept").alias("p"), share("lang_n", "lang_total", "kept").alias("q"),
+    )
+
+
+def terms(shares: DataFrame, ranks: int) -> DataFrame:
     """``lang, source, item, value, rank``: what each source uses most above its language."""
-    local = _skybands(cells.select("lang", "source", "term", "n", "lang_n"), ranks)
-    merged = _skybands(local.repartition("lang", "source"), ranks)
-    known = groups.select("lang", "source", "total", "kept", "lang_total")
-    value = share("n", "total", "kept") - share("lang_n", "lang_total", "kept")
+    # What dominates a term above its language is above it too.
+    above = shares.filter("p > q").select("lang", "source", "term", "n", "lang_n", (F.col("p") - F.col("q")).alias("value"))
+    merged = _skybands(_skybands(above, ranks).repartition("lang", "source"), ranks)
     order = W.Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     return (
-        merged.join(known, ["lang", "source"])
-        .select("lang", "source", F.col("term").alias("item"), value.alias("value"))
-        .filter("value > 0")
+        merged.select("lang", "source", F.col("term").alias("item"), "value")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= ranks)
     )
 
 
-def pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
+def pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     """``lang, source, item, value, rank``: the difference of each source to every other of its language."""
-    spark = cells.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = groups.withColumn("side", F.floor(F.col("ordinal") / TILE).cast("int"))
-    side_list = placed.groupBy("lang", "side").agg(F.sort_array(F.collect_list(F.struct("ordinal", "base"))).alias("known"))
-    one, two = side_list.toDF("lang", "i", "known_i"), side_list.toDF("lang", "j", "known_j")
-    tile_list = one.join(two, "lang").filter("i <= j")
-    # Heads name the sources of a tile, at most TILE a side, to every bucket of terms.
-    heads = tile_list.select(
-        "lang", "i", "j", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit("").alias("term"),
-        F.lit(-1).alias("ordinal"), F.lit(0).cast("long").alias("p"),
-        *[F.col(f"known_{s}")[c].alias(f"{c}_{s}") for s in "ij" for c in ("ordinal", "base")],
-    )
-    sides = placed.groupBy("lang").agg(F.max("side").alias("last"))
-    shared = (
-        cells.select("lang", "source", "term", "n")
-        .join(placed.select("lang", "source", "ordinal", "side", "total", "kept"), ["lang", "source"])
-        .join(sides, "lang")
-        .select(
-            "lang", "term", "ordinal", "side", share("n", "total", "kept").alias("p"),
-            F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"),
-        )
-    )
-    bodies = shared.select(
-        "lang", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "bucket", "term", "ordinal", "p",
-        *[F.lit(None).cast(heads.schema[f"{c}_{s}"].dataType).alias(f"{c}_{s}") for s in "ij" for c in ("ordinal", "base")],
+    buckets = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = F.floor(F.col("ordinal") / TILE).cast("int").alias("side")
+    lists = [F.col("c")["ordinal"].alias("ordinals"), F.col("c")["p"].alias("shares")]
+    side_list = groups.groupBy("lang", side).agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col("base").alias("p")))).alias("c"))
+    side_list = side_list.select("lang", "side", *lists)
+    last = groups.groupBy("lang").agg(F.floor(F.max("ordinal") / TILE).cast("int").alias("last"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    # A term's shares on one side, at most TILE, go to every tile of that side. Heads name a tile's sources to each bucket.
+    bodies = (
+        shares.groupBy("term", "lang", side).agg(F.collect_list(F.struct("ordinal", "p")).alias("c"))
+        .select("lang", "side", bucket.alias("bucket"), "term", *lists)
     )
+    heads = side_list.select("lang", "side", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(None).cast("string").alias("term"), "ordinals", "shares")
+    tiled = heads.unionByName(bodies).join(last, "lang").select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
     tile = ["lang", "i", "j", "bucket"]
-    ordered = heads.unionByName(bodies).repartition(*tile).sortWithinPartitions(*tile, F.col("ordinal") >= 0, "term")
+    ordered = (
+        tiled.select("lang", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "bucket", "term", "side", "ordinals", "shares")
+        .repartition(*tile).sortWithinPartitions(*tile, F.col("term").asc_nulls_first(), "side")
+    )
     sums = ordered.mapInArrow(_tile_sums, "lang string, a int, b int, part long").groupBy("lang", "a", "b").agg(F.sum("part").alias("part"))
 
     left = groups.select("lang", F.col("ordinal").alias("a"), F.col("source").alias("source_a"), F.col("base").alias("base_a"), "kept")
@@ -255,81 +253,79 @@ def pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over a tile's terms of ``|p - q|`` less the difference of the two bases, for pairs ``a < b``."""
-    key, out, carry = None, [], None
-    ids = bases = total = None
-
-    def add(term: np.ndarray, column: np.ndarray, p: np.ndarray) -> None:
-        """Whole terms: their shares as a dense table of terms by sources, compared side by side."""
-        n_i = len(ids[0])
-        for at in range(0, int(term[-1]) + 1, 256):
-            chosen = (term >= at) & (term < at + 256)
-            rows = int(min(256, term[-1] + 1 - at))
-            dense = np.repeat(np.concatenate(bases)[None, :], rows, axis=0)
-            # A source of a tile on the diagonal stands on both sides.
-            for s, (own, shift) in enumerate(((ids[0], 0), (ids[1], n_i))):
-                where = np.searchsorted(own, column[chosen])
-                fits = (where < len(own)) & (own[np.minimum(where, len(own) - 1)] == column[chosen])
-                dense[term[chosen][fits] - at, where[fits] + shift] = p[chosen][fits]
-            for a in range(n_i):
-                total[a] += np.abs(dense[:, a : a + 1] - dense[:, n_i:]).sum(axis=0) - rows * np.abs(bases[0][a] - bases[1])
+    key, name, out = None, None, []
+    sides: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    rows: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []  # of each term waiting, its shares by side
+    total = np.zeros((0, 0), dtype=np.int64)
+
+    def add() -> None:
+        """The terms waiting as two dense tables of terms by sources, compared column by column."""
+        nonlocal total
+        if not rows:
+            return
+        tables = []
+        for s in key[1:3]:
+            ordinals, bases = sides[s]
+            dense = np.repeat(bases[None, :], len(rows), axis=0)
+            for r, known in enumerate(rows):
+                if s in known:
+                    dense[r, np.searchsorted(ordinals, known[s][0])] = known[s][1]
+            tables.append(dense)
+        if not total.size:
+            total = np.zeros((tables[0].shape[1], tables[1].shape[1]), dtype=np.int64)
+        for a, base in enumerate(sides[key[1]][1]):
+            total[a] += np.abs(tables[0][:, a : a + 1] - tables[1]).sum(axis=0) - len(rows) * np.abs(base - sides[key[2]][1])
+        rows.clear()
 
     def close() -> None:
-        if key is None or total is None:
-            return
-        a, b = np.repeat(ids[0], len(ids[1])), np.tile(ids[1], len(ids[0]))
-        part = total.ravel()
-        told = (a < b) & (part != 0)
-        if told.any():
+        nonlocal total
+        add()
+        if total.size:
+            one, two = sides[key[1]][0], sides[key[2]][0]
+            a, b, part = np.repeat(one, len(two)), np.tile(two, len(one)), total.ravel()
+            told = (a < b) & (part != 0)
             out.append((key[0], a[told], b[told], part[told]))
+        total = np.zeros((0, 0), dtype=np.int64)
 
     def emit() -> Iterator[pa.RecordBatch]:
         for lang, a, b, part in out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(part, pa.int64())], ["lang", "a", "b", "part"]
-            )
+            arrays = [pa.array([lang] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(part, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "a", "b", "part"])
         out.clear()
 
-    def flush() -> None:
-        nonlocal carry
-        if carry is not None and len(carry[0]):
-            names = np.array(carry[0], dtype=object)
-            change = np.concatenate([[0], np.cumsum(names[1:] != names[:-1])])
-            add(change, np.array(carry[1], dtype=np.int64), np.array(carry[2], dtype=np.int64))
-        carry = None
-
     for batch in batches:
-        lang, i, j, bucket, term, ordinal, p, *known = (batch.column(k) for k in range(batch.num_columns))
-        keys = list(zip(lang.to_pylist(), i.to_pylist(), j.to_pylist(), bucket.to_pylist(), strict=True))
-        names, numbers, shares = term.to_pylist(), ordinal.to_pylist(), p.to_pylist()
-        for r, own in enumerate(keys):
+        lists = [batch.column(c) for c in (6, 7)]
+        offsets = lists[0].offsets.to_numpy()
+        ordinals, values = (c.values.to_numpy(zero_copy_only=False).astype(np.int64) for c in lists)
+        keys = zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)
+        for r, (own, term, side) in enumerate(zip(keys, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
             if own != key:
-                flush()
                 close()
                 if len(out) >= 64:
                     yield from emit()
-                key = own
-                found = [np.array(c[r].as_py(), dtype=np.int64) for c in known]
-                ids, bases = (found[0], found[2]), (found[1], found[3])
-                total = np.zeros((len(ids[0]), len(ids[1])), dtype=np.int64)
-                carry = ([], [], [])
+                key, name, sides = own, None, {}
+            known = ordinals[offsets[r] : offsets[r + 1]], values[offsets[r] : offsets[r + 1]]
+            if term is None:
+                sides[side] = known
                 continue
-            if carry is None:
-                carry = ([], [], [])
-            if len(carry[0]) >= 20_000 and carry[0][-1] != names[r]:
-                flush()
-                carry = ([], [], [])
-            for store, value in zip(carry, (names[r], numbers[r], shares[r]), strict=True):
-                store.append(value)
-    flush()
+            if term != name:
+                if len(rows) >= 512:
+                    add()
+                rows.append({})
+                name = term
+            rows[-1][side] = known
     close()
     yield from emit()
 
 
 def audit(docs: DataFrame, min_docs: int = 30, ranks: int = 50) -> DataFrame:
     """``lang, source, part, item, value, rank``: parts ``pair`` and ``term`` of every group of ``lang, source, text``."""
-    counts = written(term_counts(docs), "term-counts")
-    cells = written(kept_cells(counts, min_docs), "term-cells")
-    known = written(groups(counts, cells), "term-groups")
-    parts = [("pair", pairs(cells, known)), ("term", terms(cells, known, ranks))]
-    one, two = (df.select("lang", "source", F.lit(name).alias("part"), "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank")) for name, df in parts)
+    cells = written(kept_cells(term_counts(docs), min_docs), "term-cells")
+    known = written(groups(cells), "term-groups")
+    shares = with_shares(cells, known)
+    parts = [("pair", pairs(shares, known)), ("term", terms(shares, ranks))]
+    one, two = (
+        df.select("lang", "source", F.lit(name).alias("part"), "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank"))
+        for name, df in parts
+    )
     return one.unionByName(two)
