@@ -6,13 +6,14 @@ in a row, of which three are longer than the longest item) is run against it by
 retrieves all items at or above ``retrieve``. An item of which ``overlap`` of the shingles could
 be met at a lower score is raised by a factor of its own, so that no such passage is missed.
 Retrieved pairs are verified on five-word shingles of the text around the passage: a pair is a
-leak if it holds at least ``overlap`` of the item's shingles, wherever the others were lost, and
-half of the words of its answer. The answer is the item's last quarter of words: a question
-without its answer is no leak. The shares of question and answer shingles are only reported.
+leak if it holds at least ``overlap`` of the item's shingles, wherever the others were lost. The shares of the
+shingles of the question and of the answer (those that reach into the last quarter of the words) are reported.
+A passage without any shingle of any item, found by one lookup of hashes for all words of a batch, can share
+nothing, so it is left out before the search; that drops no leak.
 
 Items are indexed in blocks of about ``block_items`` (chosen by a hash), each broadcast for one
 pass over the texts, so what is broadcast stays bounded however many items there are. Document
-frequencies are of all items. Texts are read whole and never shuffled; a lost task is redone.
+frequencies and the average length are of all items. Texts are read whole and never shuffled; a lost task is redone.
 
 Nulls and ties: null or empty texts and items leak nothing. An item shorter than five words is
 one shingle of all its words. Words are compared in lower case without ASCII
@@ -28,10 +29,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from answerframe.llm.common import blocks
 
@@ -62,16 +64,17 @@ class Index:
     group_most: np.ndarray  # terms x groups of items, the largest impact in each
     window: int
     raised: list[float]  # the factor of each item's impacts
+    grams: dict[int, np.ndarray]  # by size, hashes of the shingles of the items' words, sorted
     block: int = 16
     parts: dict = field(default_factory=dict)
 
-    def question_and_answer(self, item: int) -> tuple[int, set[bytes], set[bytes], set[bytes]]:
-        """Words in a shingle, shingles within the question, those that reach into the answer, and its words."""
+    def question_and_answer(self, item: int) -> tuple[int, set[bytes], set[bytes]]:
+        """Words in a shingle, shingles within the question and those that reach into the answer."""
         if item not in self.parts:
             words = self.words[item]
             size, cut = min(SHINGLE, len(words)), -max(1, len(words) // 4)
             question = shingles(words[:cut], size)
-            self.parts[item] = (size, question, shingles(words, size) - question, set(words[cut:]))
+            self.parts[item] = (size, question, shingles(words, size) - question)
         return self.parts[item]
 
 
@@ -90,14 +93,30 @@ def least_score(words: list[bytes], impact: dict[bytes, float], overlap: float)
     return max(1e-6, 1.0 - sum(heavy[:places]) - 1e-9)
 
 
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+
+
+def gram_hashes(term: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` numbers in a row. Different rows may share one, which only costs a search."""
+    if len(term) < size:
+        return np.zeros(0, dtype=np.uint64)
+    numbers = term.astype(np.uint64) + np.uint64(1)
+    n = len(term) - size + 1
+    out = numbers[:n] * _FACTORS[0]
+    for k in range(1, size):
+        out = (out ^ (out >> np.uint64(29))) + numbers[k : k + n] * _FACTORS[k]
+    return out
+
+
 def build(
     ids: list, texts: list[str | None], frequency: dict[bytes, int], n_items: int, k1: float = 0.9, b: float = 0.4, groups: int = 64,
-    retrieve: float = 0.0, overlap: float = 1.0,
+    retrieve: float = 0.0, overlap: float = 1.0, average: float | None = None,
 ) -> Index:
+    """An index of some items. ``frequency``, ``n_items`` and ``average`` (words an item) are of all items."""
     # Items of about the same length are neighbours, since their impacts are of about the same size.
     order = sorted(range(len(ids)), key=lambda i: len(texts[i] or ""))
     ids, words = [ids[i] for i in order], [plain_words(texts[i]) for i in order]
-    average = sum(map(len, words)) / max(1, len(words)) or 1.0
+    average = average or sum(map(len, words)) / max(1, len(words)) or 1.0
     terms: dict[bytes, int] = {}
     postings: list[list[tuple[int, float]]] = []
     raised = []
@@ -115,6 +134,11 @@ def build(
                 postings.append([])
             postings[terms[w]].append((item, x / total * raised[item]))
     impacts = [np.array([x for _, x in p]) for p in postings]
+    hashed: dict[int, list[np.ndarray]] = {}
+    for ws in words:
+        if ws:
+            size = min(SHINGLE, len(ws))
+            hashed.setdefault(size, []).append(gram_hashes(np.array([terms[w] for w in ws]), size))
     group_most = np.zeros((len(terms), min(groups, max(1, len(ids)))), dtype=np.float32)
     for t, p in enumerate(postings):
         for i, x in p:
@@ -123,6 +147,7 @@ def build(
     return Index(
         ids, words, terms, [np.array([i for i, _ in p]) for p in postings], impacts, np.array([x.max() for x in impacts] or [0.0]),
         [[float(x[k : k + 16].max()) for k in range(0, len(x), 16)] for x in impacts], group_most, max(64, max(map(len, words), default=0) * 9 // 8), raised,
+        {size: np.unique(np.concatenate(found)) for size, found in hashed.items()},
     )
 
 
@@ -220,6 +245,17 @@ def search(texts: list[str | None], index: Index, retrieve: float, overlap: floa
         inside = np.flatnonzero(ends > np.arange(n_pieces) + k)
         total[inside] += bound[inside + k]
     whole = total.max(axis=1, initial=0.0) + 1e-6
+    # A leak shares a shingle with the text that is looked at around the window, so windows without any there are left out.
+    all_pieces = np.repeat(first_piece, sizes) + (np.arange(len(term)) - np.repeat(starts, sizes)) // piece
+    shared = np.zeros(n_pieces + 1, dtype=np.int64)
+    for size, known in index.grams.items():
+        grams = gram_hashes(term, size)
+        place = np.searchsorted(known, grams)
+        hit = known[np.minimum(place, len(known) - 1)] == grams
+        shared[1:] += np.bincount(all_pieces[: len(grams)][hit], minlength=n_pieces)
+    shared = np.cumsum(shared)
+    at_piece = np.arange(n_pieces)
+    whole[shared[np.minimum(at_piece + 6, n_pieces)] == shared[np.maximum(at_piece - 2, 0)]] = -1.0
     edges = np.searchsorted(pair_piece, np.arange(n_pieces + 1))
     done: set[tuple[int, int, int]] = set()
     for h in np.flatnonzero(whole >= retrieve):
@@ -229,12 +265,12 @@ def search(texts: list[str | None], index: Index, retrieve: float, overlap: floa
         t = int(text_of[h])
         place = (h - first_piece[t]) * piece
         for item, score in block_max_wand(index, query.tolist(), retrieve):
-            size, question, answer, answer_words = index.question_and_answer(item)
+            size, question, answer = index.question_and_answer(item)
             text = split[t][max(0, place - 2 * piece) : place + 6 * piece]
             near = shingles(text, size)
             q, a = (len(x & near) / len(x) if x else 1.0 for x in (question, answer))
-            whole = len(question & near) + len(answer & near) >= overlap * (len(question) + len(answer)) - 1e-9
-            if whole and 2 * len(answer_words.intersection(text)) >= len(answer_words) and (t, item) not in done:
+            held = len(question & near) + len(answer & near)
+            if held >= overlap * (len(question) + len(answer)) - 1e-9 and (t, item) not in done:
                 done.add((t, item))
                 yield t, item, score / index.raised[item], q, a
 
@@ -259,24 +295,28 @@ def leaks(
     schema = T.StructType([
         docs.schema["doc_id"], items.schema["item_id"], *[T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap")]
     ])
+    listed = F.filter(F.split(lower, blanks), lambda w: w != "")
+    average = kept.agg(F.avg(F.size(listed)).alias("n")).first()["n"] or 1.0
+    item_type = to_arrow_type(schema["item_id"].dataType)
     out = spark.createDataFrame([], schema)
     for k in range(n_blocks):
-        own = numbered.filter(F.col("block") == k).orderBy("spread", "item_id").toPandas()
-        known = words.filter(F.col("block") == k).select("word").distinct().join(frequency, "word").toPandas()
-        table = {w.encode(): int(n) for w, n in zip(known["word"], known["n"], strict=True)}
-        shared = spark.sparkContext.broadcast(build(own["item_id"].tolist(), own["text"].tolist(), table, n_items, retrieve=retrieve, overlap=overlap))
+        own = numbered.filter(F.col("block") == k).orderBy("spread", "item_id").select("item_id", "text").collect()
+        known = words.filter(F.col("block") == k).select("word").distinct().join(frequency, "word").collect()
+        table = {r["word"].encode(): r["n"] for r in known}
+        index = build([r["item_id"] for r in own], [r["text"] for r in own], table, n_items, retrieve=retrieve, overlap=overlap, average=average)
+        shared = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                for part in blocks(batch["text"], block_chars):
-                    chosen = batch.iloc[part]
-                    hits = list(search(chosen["text"].tolist(), index, retrieve, overlap))
+                whole = batch.column(1).to_pylist()
+                for part in blocks(whole, block_chars):
+                    hits = list(search(whole[part], index, retrieve, overlap))
                     if hits:
-                        yield pd.DataFrame({
-                            "doc_id": chosen["doc_id"].to_numpy()[[h[0] for h in hits]], "item_id": [index.ids[h[1]] for h in hits],
-                            "score": [h[2] for h in hits], "question_overlap": [h[3] for h in hits], "answer_overlap": [h[4] for h in hits],
-                        })
+                        ids = batch.column(0).take(pa.array([part.start + h[0] for h in hits]))
+                        found = pa.array([index.ids[h[1]] for h in hits], item_type)
+                        shares = [pa.array([h[c] for h in hits], pa.float64()) for c in (2, 3, 4)]
+                        yield pa.RecordBatch.from_arrays([ids, found, *shares], schema.fieldNames())
 
-        out = out.unionAll(texts.mapInPandas(run, schema))
+        out = out.unionAll(texts.mapInArrow(run, schema))
     return out

@@ -94,3 +94,38 @@ def test_values_beside_each_other_are_all_found_and_go_back(spark):
     first, second = (got[list(cases).index(t)].text for t in ("123-45-6789 987-65-4321", "1980-05-04 123-45-6789"))
     assert first.split()[0] == second.split()[1]
     assert {r.doc_id: r.text for r in pseudonyms.pseudonymize(made, "k", back=True).collect()} == dict(enumerate(cases))
+
+
+# --- decontamination: third round ------------------------------------------------------------
+
+
+def plain_leaks(rows, items, overlap=0.75):
+    found = set()
+    for d, text in rows:
+        mine = decontaminate.plain_words(text)
+        for i, item in items:
+            own = decontaminate.plain_words(item)
+            if own:
+                size = min(5, len(own))
+                wanted = decontaminate.shingles(own, size)
+                if len(wanted & decontaminate.shingles(mine, size)) >= overlap * len(wanted):
+                    found.add((d, i))
+    return found
+
+
+def test_first_three_quarters_of_an_item_leak(spark):
+    big = 9007199254740993
+    items = [(big, words(100, 1000)), (None, words(9, 5000)), (3, "w1 w2 w3")]
+    cut = lambda n: words(n, 1000)
+    rows = [(big + n, f"{'x ' * n * 3}{cut(n)} {'y ' * 200}") for n in (60, 75, 76, 80, 87, 99, 100)] + [(None, words(9, 5000)), (big, None), (7, "")]
+    docs = spark.createDataFrame([(*r, "z", 1.0) for r in rows], "doc_id long, text string, item_id string, score double").coalesce(1)
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, frame).collect()}
+    assert found == plain_leaks(rows, items) and (big + 80, big) in found and (None, None) in found
+
+
+def test_scores_do_not_depend_on_blocks(spark):
+    items = spark.createDataFrame([(i, words(8 + i, 100 * i)) for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, words(8 + i, 100 * i) + " tail") for i in range(12)], "doc_id long, text string")
+    one, many = (sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.leaks(docs, items, block_items=n).collect()) for n in (100, 3))
+    assert one == many and len(one) == 12
