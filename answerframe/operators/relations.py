@@ -73,21 +73,50 @@ def relation_closure(facts: DataFrame, sources: DataFrame | None = None) -> Data
         reach = reach.unionByName(found)
 
 
+_PAIR = ["story_id", "subj", "rel", "obj"]
+# A node with more arrows than this has them in several parts, each a join key of its own.
+ARROWS_PER_PART = 100_000
+# Rounds after which what was seen so far is written as one table.
+MERGE_EVERY = 4
+
+
+def ancestors(contains: DataFrame, items: DataFrame) -> DataFrame:
+    """``story_id, item, container``: everything the given items lie in, at any depth.
+
+    ``contains``: ``story_id, container, item``; ``items``: ``story_id, item``. Parent links are doubled in
+    every round (links to the 2nd, 4th, 8th container), so a depth of n takes about log2(n) rounds, and what
+    is kept are the ancestors of the given items only. An item may lie in several containers. A containment
+    that runs in a circle ends too: nothing new is found.
+    """
+    jumps = written(contains.select("story_id", "item", "container").distinct(), "jumps")
+    found = written(jumps.join(items.select("story_id", "item").distinct(), ["story_id", "item"], "left_semi"), "ancestors")
+    while True:
+        onward = jumps.select("story_id", F.col("item").alias("container"), F.col("container").alias("above"))
+        step = found.join(onward, ["story_id", "container"]).select("story_id", "item", F.col("above").alias("container"))
+        more = written(step.distinct().join(found, ["story_id", "item", "container"], "left_anti"), "ancestors")
+        if more.isEmpty():
+            return found
+        found = found.unionByName(more)
+        doubled = jumps.join(onward, ["story_id", "container"]).select("story_id", "item", F.col("above").alias("container"))
+        jumps = written(doubled.distinct(), "jumps")
+
+
 def inherit_direction(block_facts: DataFrame, contains: DataFrame, asked: DataFrame) -> DataFrame:
-    """Directions that asked objects inherit from the blocks they lie in.
+    """Directions that asked objects inherit from the blocks they lie in, at any depth of containment.
 
     ``contains``: ``story_id, container, item``; ``asked``: ``story_id, subj, obj``. Only the
     asked pairs are looked at, never all pairs of two blocks.
     """
-    of_subj = contains.select("story_id", F.col("item").alias("subj"), F.col("container").alias("subj_block"))
-    of_obj = contains.select("story_id", F.col("item").alias("obj"), F.col("container").alias("obj_block"))
+    pairs = asked.select("story_id", "subj", "obj").distinct()
+    objects = pairs.select("story_id", F.explode(F.array("subj", "obj")).alias("item"))
+    above = ancestors(contains, objects)
+    of_subj = above.select("story_id", F.col("item").alias("subj"), F.col("container").alias("subj_block"))
+    of_obj = above.select("story_id", F.col("item").alias("obj"), F.col("container").alias("obj_block"))
     blocks = block_facts.filter(F.col("rel").isin(*DIRECTIONAL)).select(
         "story_id", F.col("subj").alias("subj_block"), "rel", F.col("obj").alias("obj_block")
     )
     return (
-        asked.select("story_id", "subj", "obj")
-        .distinct()
-        .join(of_subj, ["story_id", "subj"])
+        pairs.join(of_subj, ["story_id", "subj"])
         .join(of_obj, ["story_id", "obj"])
         .join(blocks, ["story_id", "subj_block", "obj_block"])
         .select(*FACT)
@@ -95,6 +124,98 @@ def inherit_direction(block_facts: DataFrame, contains: DataFrame, asked: DataFr
     )
 
 
+def _arrows(facts: DataFrame, per_part: int) -> tuple[DataFrame, DataFrame]:
+    """Facts as arrows in both directions, those of large nodes in parts; and the large nodes."""
+    ways = F.explode(
+        F.array(
+            F.struct(F.lit(0).alias("side"), F.col("subj").alias("node"), F.col("obj").alias("to")),
+            F.struct(F.lit(1).alias("side"), F.col("obj").alias("node"), F.col("subj").alias("to")),
+        )
+    )
+    both = facts.filter(F.col("rel").isin(*DIRECTIONAL)).select(*FACT).distinct().select("story_id", "rel", ways.alias("w"))
+    both = written(both.select("story_id", "rel", "w.side", "w.node", "w.to"), "arrows")
+    at = ["story_id", "rel", "side", "node"]
+    large = both.groupBy(*at).count().filter(F.col("count") > per_part)
+    large = written(large.select(*at, F.ceil(F.col("count") / per_part).cast("int").alias("parts")), "large")
+    part = F.pmod(F.xxhash64("to"), F.coalesce("parts", F.lit(1))).cast("int")
+    return both.join(large, at, "left").select(*at, part.alias("part"), "to"), large
+
+
+def _ties(contains: DataFrame, facts: DataFrame) -> DataFrame:
+    """Moves along containment: ``story_id, side, node, need, to, states``.
+
+    Upwards every item moves. Downwards only those can help from which a path goes on: objects of
+    facts, objects in several containers, and what holds such objects.
+    """
+    links = written(contains.select("story_id", "container", "item").distinct(), "links")
+    named = facts.select("story_id", F.explode(F.array("subj", "obj")).alias("item"))
+    shared = links.groupBy("story_id", "item").count().filter("count > 1").select("story_id", "item")
+    active = named.unionByName(shared).distinct()
+    active = active.unionByName(ancestors(links, active).select("story_id", F.col("container").alias("item"))).distinct()
+    below = links.join(written(active, "active"), ["story_id", "item"], "left_semi")
+
+    def move(rows: DataFrame, side: int, start: str, need: int | None, to: str, states: tuple[int, ...]) -> DataFrame:
+        return rows.select(
+            "story_id", F.lit(side).alias("side"), F.col(start).alias("node"), F.lit(need).cast("int").alias("need"),
+            F.col(to).alias("to"), F.array(*map(F.lit, states)).alias("states"),
+        )
+
+    moves = [
+        move(links, 0, "item", None, "container", (0,)),
+        move(below, 0, "container", 1, "item", (1,)),
+        move(links, 1, "item", 1, "container", (1,)),
+        move(below, 1, "container", 0, "item", (0, 1)),
+    ]
+    return written(moves[0].unionByName(moves[1]).unionByName(moves[2]).unionByName(moves[3]), "ties")
+
+
+def pair_reach(
+    facts: DataFrame, asked: DataFrame, contains: DataFrame | None = None, per_part: int = ARROWS_PER_PART
+) -> DataFrame:
+    """The asked pairs (``story_id, subj, rel, obj``) that follow from directional facts of the same story and relation.
+
+    A pair follows if a path of facts leads from subj to obj. With ``contains`` (``story_id, container, item``) a
+    path may also go up from an object to what holds it before a fact and down after one, since what blocks hold
+    inherits their direction; so a node is an object and whether a fact has been followed since the last step up.
+
+    The search goes from both ends, a step each in a round, and asks whether they have met: as many rounds as
+    half the longest path. A round joins only what the round before found. Pairs that have met leave, as
+    do those of which one end finds nothing new. A node of very many facts is several join keys.
+    The driver learns only whether a round was empty.
+    """
+    arrows, large = _arrows(facts, per_part)
+    arrows = written(arrows, "arrows")
+    ties = None if contains is None else _ties(contains, facts.filter(F.col("rel").isin(*DIRECTIONAL)))
+    wanted = written(asked.filter(F.col("rel").isin(*DIRECTIONAL)).select(*_PAIR).distinct(), "asked")
+    ends = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("node"), F.lit(i).alias("state")) for i, c in enumerate(("subj", "obj"))]))
+    row = [*_PAIR, "side", "node", "state"]
+    frontier = written(wanted.select(*_PAIR, ends.alias("e")).select(*_PAIR, "e.side", "e.node", "e.state"), "frontier")
+    seen, reached, rounds = frontier, None, 0
+    while not frontier.isEmpty():
+        split = frontier.join(large, ["story_id", "rel", "side", "node"], "left").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        )
+        # Forward a fact leads to state 1; backward it may have been entered in either.
+        entered = F.explode(F.when(F.col("side") == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))))
+        step = split.filter("side = 0 or state = 1").join(arrows, ["story_id", "rel", "side", "node", "part"])
+        step = step.select(*_PAIR, "side", F.col("to").alias("node"), entered.alias("state"))
+        if ties is not None:
+            tied = frontier.join(ties, ["story_id", "side", "node"]).filter("need is null or need = state")
+            step = step.unionByName(tied.select(*_PAIR, "side", F.col("to").alias("node"), F.explode("states").alias("state")))
+        new = written(step.distinct().join(seen, row, "left_anti").select(*row), "frontier")
+        seen = seen.unionByName(new)
+        other = seen.select(*_PAIR, (1 - F.col("side")).alias("side"), "node", "state")
+        met = written(new.join(other, row, "left_semi").select(*_PAIR).distinct(), "met")
+        reached = met if reached is None else reached.unionByName(met)
+        both = new.groupBy(*_PAIR).agg(F.count_distinct("side").alias("ends")).filter("ends = 2").select(*_PAIR)
+        open_pairs = both.join(met, _PAIR, "left_anti")
+        frontier = written(new.join(open_pairs, _PAIR, "left_semi").select(*row), "frontier")
+        rounds += 1
+        if rounds % MERGE_EVERY == 0:
+            seen, reached = written(seen.join(frontier.select(*_PAIR).distinct(), _PAIR, "left_semi"), "seen"), written(reached, "reached")
+    return wanted.limit(0) if reached is None else reached
+
+
 def contradictions(facts: DataFrame) -> DataFrame:
     """Pairs, in either order, that are stated to be both near and far."""
     pair = facts.filter(F.col("rel").isin("near", "far")).select(
@@ -173,3 +294,49 @@ def answer_from_facts(asked: DataFrame, facts: DataFrame) -> DataFrame:
         .alias("answer"),
     )
     return about_pair.unionByName(about_candidates)
+
+
+def probes(asked: DataFrame) -> DataFrame:
+    """``story_id, subj, rel, obj``: the facts that can bear on asked questions, and no others.
+
+    FR asks for every relation of its pair, YN for its own and for the one that contradicts it, CO and FB
+    for that of each candidate.
+    """
+    subjects = (
+        F.when(F.col("q_type") == "CO", F.slice("candidates", 1, 2))
+        .when(F.col("q_type") == "FB", F.col("candidates"))
+        .otherwise(F.array("subj"))
+    )
+    against = F.array_compact(F.array(F.col("rel"), _lookup(CONTRADICTS, F.col("rel"))))
+    relations = (
+        F.when(F.col("q_type") == "FR", F.array(*map(F.lit, RELATIONS)))
+        .when(F.col("q_type") == "YN", against)
+        .otherwise(F.array("rel"))
+    )
+    rows = asked.select("story_id", "obj", relations.alias("rels"), F.explode(subjects).alias("subj"))
+    return rows.select("story_id", "subj", F.explode("rels").alias("rel"), "obj").distinct()
+
+
+def closed_facts(facts: DataFrame, contains: DataFrame, demanded: DataFrame) -> DataFrame:
+    """Of the demanded facts those that follow by all rules: converses, transitivity, symmetry and containment.
+
+    Of each two converse relations one is searched for (left and above), with facts and demands turned
+    round where needed, so converses cost no step. Near, far and touching are symmetric and never transitive.
+    """
+    turn = F.col("rel").isin("right", "below")
+    straight = [
+        "story_id", F.when(turn, F.col("obj")).otherwise(F.col("subj")).alias("subj"),
+        F.when(turn, _lookup(INVERSE, F.col("rel"))).otherwise(F.col("rel")).alias("rel"),
+        F.when(turn, F.col("subj")).otherwise(F.col("obj")).alias("obj"),
+    ]
+    wanted = demanded.select(*_PAIR).distinct()
+    reached = pair_reach(facts.select(*straight), wanted.select(*straight), contains)
+    # A demanded fact is answered by its own search or, turned round, by that of its converse.
+    directed = with_converses(reached).join(wanted, _PAIR, "left_semi")
+    stated = with_converses(facts.filter(~F.col("rel").isin(*DIRECTIONAL))).join(wanted, _PAIR, "left_semi")
+    return directed.unionByName(stated).select(*FACT).distinct()
+
+
+def answer_from_closed_facts(asked: DataFrame, facts: DataFrame, contains: DataFrame) -> DataFrame:
+    """``answer_from_facts`` over what follows from the facts by all rules, derived for the asked questions only."""
+    return answer_from_facts(asked, closed_facts(facts, contains, probes(asked)))

@@ -251,6 +251,25 @@ both_ways AS (SELECT * FROM stated UNION SELECT story_id, obj, {_CONVERSE}, subj
 _SCENE = """present AS (SELECT DISTINCT l_orderkey AS story_id, l_linenumber AS n FROM lineitem),
 ordered AS (SELECT story_id, n, lead(n) OVER (PARTITION BY story_id ORDER BY n) AS m FROM present)"""
 
+# What follows from stated facts and block facts: paths that may go up through blocks before a fact and down after one.
+_CLOSED = f"""given AS (SELECT DISTINCT l_orderkey AS story_id, 'L' || l_linenumber AS subj, {_RELATION} AS rel,
+    'L' || ((l_linenumber + l_partkey % 6) % 7 + 1) AS obj FROM lineitem
+  UNION SELECT o_orderkey, 'A', CASE o_orderstatus WHEN 'F' THEN 'right' ELSE 'left' END, 'N' FROM orders
+  UNION SELECT o_orderkey, 'N', CASE o_orderstatus WHEN 'F' THEN 'below' ELSE 'above' END, 'R' FROM orders),
+axes AS (SELECT DISTINCT story_id, CASE WHEN rel IN ('left', 'right') THEN 'left' ELSE 'above' END AS axis,
+    CASE WHEN rel IN ('left', 'above') THEN subj ELSE obj END AS a, CASE WHEN rel IN ('left', 'above') THEN obj ELSE subj END AS b
+  FROM given WHERE rel IN ('left', 'right', 'above', 'below')),
+held AS (SELECT DISTINCT l_orderkey AS story_id, l_returnflag AS block, 'L' || l_linenumber AS item FROM lineitem),
+moves AS (SELECT story_id, axis, a AS node, CAST(NULL AS INT) AS need, b AS dest, 1 AS after FROM axes
+  UNION ALL SELECT story_id, axis, item, CAST(NULL AS INT), block, 0 FROM held, (VALUES ('left'), ('above')) v(axis)
+  UNION ALL SELECT story_id, axis, block, 1, item, 1 FROM held, (VALUES ('left'), ('above')) v(axis)),
+walk AS (SELECT story_id, axis, node AS origin, node, 0 AS state FROM (SELECT DISTINCT story_id, axis, node FROM moves WHERE node LIKE 'L%')
+  UNION SELECT w.story_id, w.axis, w.origin, m.dest, m.after FROM walk w JOIN moves m
+    ON m.story_id = w.story_id AND m.axis = w.axis AND m.node = w.node AND (m.need IS NULL OR m.need = w.state)),
+follows AS (SELECT story_id, origin AS subj, axis AS rel, node AS obj FROM walk WHERE state = 1
+  UNION SELECT story_id, subj, rel, obj FROM given WHERE rel IN ('near', 'far', 'touching')),
+both_ways AS (SELECT * FROM follows UNION SELECT story_id, obj, {_CONVERSE}, subj FROM follows)"""
+
 ORACLES: dict[str, str] = {
     "score_missing_wrong": f"WITH {_QA} {_scores('', 'wrong')}",
     "score_answered_only": f"WITH {_QA} {_scores('', 'skip')}",
@@ -448,3 +467,15 @@ ORACLES: dict[str, str] = {
         ELSE '[' || concat_ws(',', CASE WHEN x & want <> 0 THEN '"L2"' END, CASE WHEN y & want <> 0 THEN '"L4"' END, CASE WHEN z & want <> 0 THEN '"L6"' END) || ']'
         END AS answer FROM tried""",
 }
+
+# The same questions over all that follows.
+ORACLES["answer_from_closed_facts"] = ORACLES["answer_from_facts"].replace(f"WITH {_STATED}", f"WITH RECURSIVE {_CLOSED}")
+ORACLES["pair_reach"] = f"""WITH RECURSIVE {_STATED},
+    steps AS (SELECT DISTINCT story_id, rel, subj, obj FROM stated WHERE rel IN ('left', 'right', 'above', 'below')),
+    reach AS (SELECT * FROM steps UNION SELECT r.story_id, r.rel, r.subj, s.obj FROM reach r JOIN steps s ON s.story_id = r.story_id AND s.rel = r.rel AND s.subj = r.obj)
+    SELECT DISTINCT story_id, subj, rel, obj FROM reach
+    JOIN (SELECT DISTINCT l_orderkey AS story_id, 'L' || l_linenumber AS subj, 'L' || (l_linenumber % 7 + 1) AS obj FROM lineitem) USING (story_id, subj, obj)"""
+ORACLES["inherit_nested"] = """WITH placed AS (SELECT c_custkey AS n, c_nationkey AS nation, n_regionkey AS region FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    both_placed AS (SELECT a.n, a.nation AS na, b.nation AS nb, a.region AS ra, b.region AS rb FROM placed a JOIN placed b ON b.n = a.n + 3)
+    SELECT CAST(0 AS BIGINT) AS story_id, 'C' || n AS subj, 'left' AS rel, 'C' || (n + 3) AS obj FROM both_placed WHERE rb = ra + 1
+    UNION ALL SELECT CAST(0 AS BIGINT), 'C' || n, 'above', 'C' || (n + 3) FROM both_placed WHERE nb = na + 7"""

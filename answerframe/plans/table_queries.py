@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from answerframe.constants import USAGE_FIELDS
+from answerframe.constants import DIRECTIONAL, USAGE_FIELDS
 from answerframe.functions.answers import (
     answer_choices,
     candidate_texts,
@@ -686,6 +686,30 @@ def inherited_directions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def nested_directions(spark: SparkSession, folder: str) -> DataFrame:
+    """Directions of customers, inherited from nations and from the regions that hold these."""
+    return rules.inherit_direction(
+        bridge.block_relations_from_nations(spark, folder),
+        bridge.nested_containment_from_customers(spark, folder),
+        bridge.asked_pairs_from_customers(spark, folder),
+    )
+
+
+def reached_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Which asked pairs of line numbers are connected by stated facts of one direction."""
+    asked = bridge.asked_pairs_from_lineitem(spark, folder).select("*", F.explode(F.array(*map(F.lit, DIRECTIONAL))).alias("rel"))
+    return rules.pair_reach(bridge.stated_relations_from_lineitem(spark, folder), asked)
+
+
+def answers_from_closed_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers from facts, their converses, what follows from them and what blocks hand down."""
+    facts = bridge.stated_relations_from_lineitem(spark, folder).unionByName(bridge.block_relations_from_orders(spark, folder))
+    answers = rules.answer_from_closed_facts(
+        bridge.asked_questions_from_lineitem(spark, folder), facts, bridge.containment_from_lineitem(spark, folder)
+    )
+    return answers.select("key", "q_type", labels_json(F.col("answer"), F.col("q_type")).alias("answer"))
+
+
 def contradictions(spark: SparkSession, folder: str) -> DataFrame:
     return rules.contradictions(bridge.stated_relations_from_lineitem(spark, folder))
 
@@ -763,7 +787,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_latest": stream_latests,
     "relation_symmetry": relation_symmetry,
     "relation_reach": relation_reach,
+    "pair_reach": reached_pairs,
     "inherit_direction": inherited_directions,
+    "inherit_nested": nested_directions,
     "contradictions": contradictions,
     "answer_from_facts": answers_from_facts,
+    "answer_from_closed_facts": answers_from_closed_facts,
 }

@@ -308,3 +308,35 @@ def asked_questions_from_lineitem(spark: SparkSession, folder: str) -> DataFrame
             " 'both', 'neither') when l_partkey % 4 = 2 then array('L2','L4','L6') else cast(array() as array<string>) end"
         ).alias("candidates"),
     )
+
+
+def nested_containment_from_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """One scene: regions hold nations, nations hold customers."""
+    region, nation, customer = F.expr("concat('R', n_regionkey)"), F.expr("concat('N', n_nationkey)"), F.expr("concat('N', c_nationkey)")
+    return (
+        table(spark, folder, "nation").select(F.lit(0).cast("bigint").alias("story_id"), region.alias("container"), nation.alias("item"))
+        .unionByName(
+            table(spark, folder, "customer").select(
+                F.lit(0).cast("bigint").alias("story_id"), customer.alias("container"), F.expr("concat('C', c_custkey)").alias("item")
+            )
+        )
+    )
+
+
+def block_relations_from_nations(spark: SparkSession, folder: str) -> DataFrame:
+    """Each region is left of the next one; each nation is above the nation numbered seven more."""
+    story = F.lit(0).cast("bigint").alias("story_id")
+    regions = table(spark, folder, "region").select(
+        story, F.expr("concat('R', r_regionkey)").alias("subj"), F.lit("left").alias("rel"), F.expr("concat('R', r_regionkey + 1)").alias("obj")
+    )
+    nations = table(spark, folder, "nation").select(
+        story, F.expr("concat('N', n_nationkey)").alias("subj"), F.lit("above").alias("rel"), F.expr("concat('N', n_nationkey + 7)").alias("obj")
+    )
+    return regions.unionByName(nations)
+
+
+def asked_pairs_from_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer and the one numbered three more."""
+    return table(spark, folder, "customer").select(
+        F.lit(0).cast("bigint").alias("story_id"), F.expr("concat('C', c_custkey)").alias("subj"), F.expr("concat('C', c_custkey + 3)").alias("obj")
+    )

@@ -2,11 +2,17 @@
 
 import random
 
+import pytest
+
 from answerframe.constants import INVERSE
+from answerframe.operators import relations
 from answerframe.operators.relations import (
+    ancestors,
     answer_from_facts,
+    closed_facts,
     contradictions,
     inherit_direction,
+    pair_reach,
     relation_closure,
     relation_symmetry,
 )
@@ -86,3 +92,78 @@ def test_answers_from_facts(spark):
         "fr": ["0", "2"], "fr-dk": ["7"], "yes": ["Yes"], "no": ["No"], "no2": ["No"], "dk": ["DK"], "co0": ["0"], "co1": ["1"], "co2": ["2"],
         "co3": ["3"], "fb": ["d", "a"], "fb-none": [], "fb-empty": [], "other": ["7"],
     }
+
+
+def _follows(facts, contains, asked):
+    """All that follows in a scene, by applying every rule until nothing is new."""
+    known = set(facts) | {(s, b, INVERSE[r], a) for s, a, r, b in facts}
+    lies = set(contains)
+    while True:
+        more = {(s, a, r, d) for s, a, r, b in known if r in ("left", "right", "above", "below") for s2, c, r2, d in known if (s, r, b) == (s2, r2, c)}
+        for s, a, r, b in known:
+            if r in ("left", "right", "above", "below"):
+                below_a = [a] + [i for s2, c, i in lies if (s2, c) == (s, a)]
+                below_b = [b] + [i for s2, c, i in lies if (s2, c) == (s, b)]
+                more |= {(s, x, r, y) for x in below_a for y in below_b}
+        if more <= known:
+            return known & set(asked)
+        known |= more
+
+
+def _scene(seed):
+    rng = random.Random(seed)
+    nodes = "ABCDabcdef"
+    facts = {(s, *rng.sample(nodes, 1), rng.choice(list(INVERSE)), rng.choice(nodes)) for s in range(5) for _ in range(7)}
+    # Blocks may hold blocks: A holds B, C holds D, and small letters lie anywhere.
+    contains = {(s, rng.choice("ABCD"), rng.choice("abcdef")) for s in range(5) for _ in range(4)}
+    contains |= {(s, "A", "B") for s in range(3)} | {(s, "C", "D") for s in range(5)} | {(4, "B", "C")}
+    asked = {(s, rng.choice(nodes), rng.choice(list(INVERSE)), rng.choice(nodes)) for s in range(6) for _ in range(60)}
+    return sorted(facts), sorted(contains), sorted(asked)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closed_facts_against_all_rules(spark, seed):
+    facts, contains, asked = _scene(seed)
+    found = closed_facts(
+        spark.createDataFrame(facts, FACTS), spark.createDataFrame(contains, "story_id long, container string, item string"), spark.createDataFrame(asked, FACTS)
+    )
+    assert _set(found) == _follows(facts, contains, asked)
+
+
+def test_pair_reach_against_closure_with_split_nodes(spark):
+    rows = _random_facts(5, stories=3, n=30)
+    facts = spark.createDataFrame(sorted(rows), FACTS)
+    asked = [(s, a, r, b) for s in range(4) for a in "abcdefg" for r in ("left", "above", "near") for b in "abcdefg"]
+    want = _closure(rows) & set(asked)
+    for per_part in (100_000, 1):
+        assert _set(pair_reach(facts, spark.createDataFrame(asked, FACTS), per_part=per_part)) == want
+    assert pair_reach(facts.limit(0), spark.createDataFrame(asked, FACTS)).count() == 0
+    assert pair_reach(facts, spark.createDataFrame([], FACTS)).count() == 0
+
+
+def test_pair_reach_takes_half_the_rounds(spark, monkeypatch):
+    frontiers = []
+    real = relations.written
+    monkeypatch.setattr(relations, "written", lambda df, name: frontiers.append(name) or real(df, name))
+    chain = spark.createDataFrame([(1, f"n{i:02d}", "left", f"n{i + 1:02d}") for i in range(12)], FACTS)
+    asked = spark.createDataFrame([(1, "n00", "left", "n12"), (1, "n12", "left", "n00"), (1, "n05", "left", "n06"), (1, "n03", "left", "n03")], FACTS)
+    assert _set(pair_reach(chain, asked)) == {(1, "n00", "left", "n12"), (1, "n05", "left", "n06")}
+    assert frontiers.count("met") == 6
+
+
+@pytest.mark.parametrize("depth", [1, 2, 10])
+def test_inherit_through_nested_blocks(spark, monkeypatch, depth):
+    rounds = []
+    real = relations.written
+    monkeypatch.setattr(relations, "written", lambda df, name: rounds.append(name) or real(df, name))
+    nested = [(7, f"{s}{i}", f"{s}{i + 1}") for s in "xy" for i in range(depth)]
+    contains = spark.createDataFrame([*nested, (7, "x0", "other")], "story_id long, container string, item string")
+    blocks = spark.createDataFrame([(7, "x0", "left", "y0"), (7, "x0", "near", "y0")], FACTS)
+    asked = spark.createDataFrame([(7, f"x{depth}", f"y{depth}"), (7, f"y{depth}", f"x{depth}"), (7, "x0", "y0")], "story_id long, subj string, obj string")
+    assert _set(inherit_direction(blocks, contains, asked)) == {(7, f"x{depth}", "left", f"y{depth}")}
+    assert rounds.count("ancestors") <= depth.bit_length() + 2
+
+
+def test_containment_in_a_circle_ends(spark):
+    links = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a")], "story_id long, container string, item string")
+    assert ancestors(links, links.select("story_id", "item")).count() == 9
