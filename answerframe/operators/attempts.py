@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from answerframe.constants import ERROR_FIELDS, USAGE_FIELDS
+from answerframe.constants import ERROR_FIELDS, ERROR_TEXT_LIMIT, USAGE_FIELDS
 from answerframe.functions.redact import redact
 
 KEY = ("source_file", "key")
@@ -64,6 +64,7 @@ def clean_errors(
     status_code: str = "status_code",
     body: str = "body",
     name: str = "error_details",
+    limit: int | None = ERROR_TEXT_LIMIT,
 ) -> DataFrame:
     """Replace status and body (a variant) by what may be logged of a failed call.
 
@@ -83,7 +84,7 @@ def clean_errors(
 
     details = F.struct(
         F.col(status_code).cast("int").alias("status_code"),
-        *[redact(text(field), secrets).alias(field) for field in ERROR_FIELDS],
+        *[redact(text(field), secrets, limit).alias(field) for field in ERROR_FIELDS],
     )
     return rows.select(*[c for c in failures.columns if c not in (status_code, body)], details.alias(name))
 

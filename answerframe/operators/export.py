@@ -77,8 +77,13 @@ def export_predictions(
         "story_index",
         offset.cast("bigint").alias("_offset"),
         F.to_variant_object(_without(F.col("item"), "questions")).alias("item"),
-        F.posexplode_outer(F.try_variant_get("item", "$.questions", "array<variant>")).alias("_pos", "raw"),
-    ).withColumn("question_index", F.col("_offset") + F.col("_pos"))
+        F.try_variant_get("item", "$.questions", "array<variant>").alias("_questions"),
+    )
+    # The questions are taken out first, so that no question carries all of its story's questions along.
+    kept = [c for c in rows.columns if c != "_questions"]
+    rows = rows.select(*kept, F.posexplode_outer("_questions").alias("_pos", "raw")).withColumn(
+        "question_index", F.col("_offset") + F.col("_pos")
+    )
     opens_record = F.col("_pos").isNull() | (F.col("_pos") == 0) | (F.col("question_index") % per_record == 0)
     filled = rows.join(predictions.select(*key, "prediction"), list(key), "left").select(
         "source_file",

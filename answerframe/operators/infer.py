@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -32,18 +33,58 @@ def score_with_model(
     return scored.select("*", *[F.col(f"_heads.{name}").alias(name) for name in HEAD_SIZES]).drop("_heads")
 
 
-def answer_with(requests: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Replies of a caller's transport to requests, batch by batch.
+FAILURE_SCHEMA = "failure STRING, status_code INT, failure_body STRING"
 
-    ``call`` gets a pandas frame of requests and returns one of replies in ``schema``. Write
-    the result before using it twice: a transport may answer differently each time.
+
+def answer_with(
+    requests: DataFrame,
+    call: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    per_call: int = 100,
+    keep: Sequence[str] = (),
+    key: Sequence[str] = ("source_file", "key"),
+) -> DataFrame:
+    """Replies of a caller's transport to requests, ``per_call`` at a time, and the failure of one that raises.
+
+    ``call`` gets a pandas frame of requests and returns one of replies in ``schema``, which holds ``key``. If it
+    raises, each of its requests becomes a row with the columns of ``FAILURE_SCHEMA`` instead of a reply, and the
+    requests that the task has not sent yet are left: what was answered so far is kept, and nothing
+    more is paid for. Requests without a reply give no row. The columns ``keep`` (plain types) go from a request to its
+    reply without a join. Write the result before using it twice: a transport may answer differently each time.
     """
+    sent = [c for c in requests.columns if c not in keep]
+    kept = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in keep)
+    whole = ", ".join(filter(None, [schema, FAILURE_SCHEMA, kept]))
+    names = [f.name for f in StructType.fromDDL(whole).fields]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield call(frame)
-
-    return requests.mapInPandas(batches, schema)
+            for start in range(0, len(frame), per_call):
+                part = frame.iloc[start : start + per_call].reset_index(drop=True)
+                failed = False
+                try:
+                    replies = call(part[sent])
+                except Exception as problem:  # noqa: BLE001
+                    failed = True
+                    replies = part[list(key)].assign(**_failure(problem))
+                replies = replies.merge(part[[*key, *keep]], on=list(key), how="inner") if len(replies) else replies
+                yield replies.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+                if failed:
+                    return
+
+    return requests.mapInPandas(batches, whole)
+
+
+def _failure(problem: Exception) -> dict:
+    """Name, status and body of an exception; its text where it has no body."""
+    status, body = getattr(problem, "status_code", None), getattr(problem, "body", None)
+    if not isinstance(body, dict):
+        body = {"message": str(problem)}
+    return {
+        "failure": type(problem).__name__,
+        "status_code": status if isinstance(status, int) else None,
+        "failure_body": json.dumps(body, default=str),
+    }
 
 
 def masked_mean_pool(hidden: str, mask: str):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from answerframe.constants import INCOMPLETE_REPLY, INVALID_REPLY
@@ -23,8 +25,8 @@ def with_strict_json(rows: DataFrame, text: str, name: str) -> DataFrame:
     return items.withColumn(name, F.when(single, F.get("_items", F.lit(0)))).drop("_items", "_fields")
 
 
-def parse_replies(replies: DataFrame) -> DataFrame:
-    """Attempts from raw replies that carry their question's ``q_type`` and ``candidates``.
+def parse_replies(replies: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Attempts from raw replies that carry their question's ``q_type`` and ``candidates``; the columns ``keep`` stay.
 
     A reply that was cut short or refused, and one that does not hold a valid answer with
     a reasoning text, become errors; id, model and usage are kept either way.
@@ -53,4 +55,5 @@ def parse_replies(replies: DataFrame) -> DataFrame:
         F.when(good, F.col("_answer")).alias("answer"),
         F.when(good, F.col("_reasoning").cast("string")).alias("reasoning"),
         "error",
+        *keep,
     )

@@ -479,3 +479,12 @@ ORACLES["inherit_nested"] = """WITH placed AS (SELECT c_custkey AS n, c_nationke
     both_placed AS (SELECT a.n, a.nation AS na, b.nation AS nb, a.region AS ra, b.region AS rb FROM placed a JOIN placed b ON b.n = a.n + 3)
     SELECT CAST(0 AS BIGINT) AS story_id, 'C' || n AS subj, 'left' AS rel, 'C' || (n + 3) AS obj FROM both_placed WHERE rb = ra + 1
     UNION ALL SELECT CAST(0 AS BIGINT), 'C' || n, 'above', 'C' || (n + 3) FROM both_placed WHERE nb = na + 7"""
+# Positions of stories and questions in documents of a thousand conversations.
+ORACLES["read_documents"] = f"""WITH {_CHAT},
+    story_at AS (SELECT story_index, row_number() OVER (PARTITION BY story_index // 1000 ORDER BY story_index) - 1 AS place
+      FROM (SELECT DISTINCT story_index FROM chat)),
+    asked_at AS (SELECT *, row_number() OVER (PARTITION BY story_index ORDER BY question_index) - 1 AS pos FROM chat)
+    SELECT 'chats-' || CAST(story_index // 1000 AS VARCHAR) AS document, CAST(place AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS key, q_type,
+      md5(question) AS question_md5, md5(to_json(string_split(story_text, chr(10)))) AS story_md5, question_index AS q_id,
+      CASE WHEN labelled THEN {_json_names('q_type', 'g')} END AS answer
+    FROM asked_at JOIN story_at USING (story_index)"""

@@ -70,8 +70,8 @@ from answerframe.session import new_folder, written
 from answerframe.sources import bridge
 from answerframe.sources.attempts import append_attempts, read_attempts
 from answerframe.sources.fingerprint import fingerprint
-from answerframe.sources.questions import flatten, labelled, read_stories
-from answerframe.sources.sinks import write_report, write_requests, write_stories
+from answerframe.sources.questions import flatten, labelled, read_documents, read_stories
+from answerframe.sources.sinks import write_documents, write_report, write_requests, write_stories
 from answerframe.streaming.log import read_latest, run_latest, run_tally, stream_attempts
 
 _CONFIG = RunConfig(
@@ -590,6 +590,24 @@ def flattened_questions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def documents_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as documents of up to a thousand each, their stories first cut into records of two questions.
+
+    The documents are read back in blocks; keys are positions in their documents.
+    """
+    stories = bridge.story_items_from_conversations(spark, folder).withColumn(
+        "source_file", F.concat(F.lit("chats-"), F.floor(F.col("story_index") / 1000).cast("string"))
+    )
+    nothing = stories.select("source_file", "story_index", F.lit(0).cast("bigint").alias("question_index"), F.col("item").alias("prediction")).limit(0)
+    path = new_folder(spark, "documents")
+    write_documents(export_predictions(stories, nothing, mode="overlay", per_record=2), path, whole=True)
+    questions = flatten(read_documents(spark, f"{path}/*/*"))
+    return questions.select(
+        F.regexp_extract("source_file", "document=([^/]+)/", 1).alias("document"), "key", "q_type", F.md5("question").alias("question_md5"),
+        F.md5(F.to_json("story")).alias("story_md5"), F.variant_get("raw", "$.q_id", "bigint").alias("q_id"), F.to_json("answer").alias("answer"),
+    )
+
+
 def rejected_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Stories with faults of every kind put in, flattened with rejects kept."""
     stories = _stories(spark, folder)
@@ -779,6 +797,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_with_model": modelled_logits,
     "fit_heads": fitted_heads,
     "flatten": flattened_questions,
+    "read_documents": documents_read,
     "flatten_rejects": rejected_questions,
     "export_fresh": export_fresh,
     "export_overlay": export_overlay,

@@ -9,31 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from answerframe.constants import TASKS
 from answerframe.functions.answers import check_answers
 from answerframe.functions.text import question_key
+from answerframe.sources.documents import read_documents
 
 _NO_ITEMS = "array<variant>"
 
 
-def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per story of files that hold one ``{name, data: [...]}`` object each.
-
-    Several files are one scan. Each story is a variant of its own, so only a story, not a
-    whole file, has to fit the size limit of a variant. Files that do not parse raise.
-    """
-    files = (
-        spark.read.schema("name VARIANT, data ARRAY<VARIANT>")
-        .option("multiLine", True)
-        .option("mode", "FAILFAST")
-        .json(paths)
-        .select("name", "data", F.col("_metadata.file_path").alias("source_file"))
-    )
-    return files.select(
-        "source_file",
-        _dataset_name(F.col("name").cast("string"), F.col("source_file")).alias("dataset_name"),
-        F.col("data").isNotNull().alias("has_data"),
-        F.posexplode_outer("data").alias("story_index", "item"),
-    ).withColumn("story_index", F.col("story_index").cast("bigint"))
-
-
 def read_stories(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One row per story of JSON-lines files as ``write_stories`` leaves them.
 
@@ -48,11 +28,6 @@ def read_stories(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def _dataset_name(name: Column, file_path: Column) -> Column:
-    stem = F.regexp_replace(F.regexp_extract(file_path, r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")
-    return F.coalesce(name, stem)
-
-
 def flatten(stories: DataFrame, lenient: bool = False, on_error: str = "fail", validate_gold: bool = True) -> DataFrame:
     """One row per question, with both ordinals, the typed raw answer and the whole raw question.
 
@@ -70,11 +45,14 @@ def flatten(stories: DataFrame, lenient: bool = False, on_error: str = "fail", v
         "dataset_name",
         "story_index",
         has_data.alias("has_data"),
-        "item",
+        F.col("item").isNotNull().alias("has_item"),
         F.coalesce(first, F.lit(0)).cast("bigint").alias("first_question"),
         F.try_variant_get("item", "$.story", "variant").alias("story"),
         F.try_variant_get("item", "$.questions", _NO_ITEMS).alias("questions"),
-    ).select("*", F.posexplode_outer("questions").alias("pos", "raw"))
+    ).withColumn("has_questions", F.col("questions").isNotNull())
+    # Beside each question go the story's text and what was missing, never the whole story again.
+    kept = [c for c in rows.columns if c != "questions"]
+    rows = rows.select(*kept, F.posexplode_outer("questions").alias("pos", "raw"))
 
     def field(name: str) -> Column:
         return F.try_variant_get("raw", f"$.{name}", "variant")
@@ -85,8 +63,8 @@ def flatten(stories: DataFrame, lenient: bool = False, on_error: str = "fail", v
         "story_index",
         (F.col("first_question") + F.col("pos")).alias("question_index"),
         "has_data",
-        "item",
-        "questions",
+        "has_item",
+        "has_questions",
         "raw",
         "story",
         field("q_id").alias("q_id"),
@@ -108,7 +86,7 @@ def flatten(stories: DataFrame, lenient: bool = False, on_error: str = "fail", v
     else:
         reason = (
             F.when(~F.col("has_data"), missing("data"))
-            .when(F.col("item").isNotNull() & F.col("questions").isNull(), missing("questions"))
+            .when(F.col("has_item") & ~F.col("has_questions"), missing("questions"))
             .when(no_question, None)
             .when(F.col("q_type").isNull(), missing("q_type"))
             .when(~F.col("q_type").isin(*TASKS), "unsupported_task")

@@ -270,3 +270,95 @@ def test_a_run_over_story_lines(spark, tmp_path):
     ask(questions, RunConfig("https://models.example/", "m", "p", "0" * 64), run, _call({"0:0": ["No"]}, str(tmp_path / "calls")))
     report = finish(spark, str(path), run, layout="stories", evaluation="trial").first()
     assert (report.status, report.evaluation, report.by_task["YN"].accuracy) == ("complete", "trial", 1.0)
+
+
+def _failing(answers, log, bad):
+    class Broken(Exception):
+        """What a client raises, with a status and a body."""
+
+        status_code = 400
+        body = {"error": {"message": "no such option: hush-hush sk-abc Bearer xyz", "code": "odd", "param": "p", "headers": {"a": 1}}}
+
+    answered = _call(answers, log)
+
+    def call(frame):
+        if frame["key"].iloc[0] in bad:
+            raise Broken("client failed")
+        return answered(frame)
+
+    return call
+
+
+def test_failed_call_is_logged_cleaned_and_keeps_replies(spark, sample, tmp_path):
+    path, run, calls = str(tmp_path / "data.json"), str(tmp_path / "run"), str(tmp_path / "calls")
+    with open(path, "w") as out:
+        json.dump(sample, out)
+    open(calls, "w").close()
+    config = RunConfig("https://models.example/", "m", "p")
+    questions = read_questions(spark, path).coalesce(1).sortWithinPartitions("key")
+    assert not ask(questions, config, run, _failing(RIGHT, calls, {"1:0"}), inputs=path, secrets=["hush-hush"], per_call=1)
+    log = {r.key: r for r in read_attempts(spark, f"{run}/responses").withColumn("answer", F.to_json("answer")).collect()}
+    # The two before it are kept, and nothing was asked after it.
+    assert set(log) == {"0:0", "0:1", "1:0"} and log["0:0"].answer and log["0:1"].answer and log["1:0"].answer is None
+    details = log["1:0"].error_details
+    assert (log["1:0"].error, details.status_code, details.code, details.param) == ("Broken", 400, "odd", "p")
+    assert not any(secret in details.message for secret in ("hush-hush", "sk-abc", "xyz")) and "no such option" in details.message
+    assert finish(spark, path, run).first().status == "partial"
+    assert ask(questions, config, run, _failing(RIGHT, calls, set()), inputs=path)
+    assert Counter(open(calls).read().split()) == dict.fromkeys(RIGHT, 1)
+    report = finish(spark, path, run).first()
+    assert report.status == "complete" and report.usage_all_attempts.total_tokens == 5 * 9
+
+
+def test_no_wave_begins_after_a_failure(spark, sample, tmp_path):
+    path, run, calls = str(tmp_path / "data.json"), str(tmp_path / "run"), str(tmp_path / "calls")
+    with open(path, "w") as out:
+        json.dump(sample, out)
+    open(calls, "w").close()
+    config, questions = RunConfig("https://models.example/", "m", "p"), read_questions(spark, path)
+    assert not ask(questions, config, run, _failing(RIGHT, calls, set(RIGHT)), wave=1)
+    failed = read_attempts(spark, f"{run}/responses").count()
+    assert failed < len(RIGHT) and not open(calls).read()
+    assert ask(questions, config, run, _call(RIGHT, calls), wave=2)
+    assert Counter(open(calls).read().split()) == dict.fromkeys(RIGHT, 1)
+
+
+def test_empty_selection_and_changed_input_are_refused(spark, sample, tmp_path):
+    path, run, calls = str(tmp_path / "data.json"), str(tmp_path / "run"), str(tmp_path / "calls")
+    with open(path, "w") as out:
+        json.dump(sample, out)
+    config, questions = RunConfig("https://models.example/", "m", "p"), read_questions(spark, path)
+    with pytest.raises(ValueError, match="no questions"):
+        ask(questions.limit(0), config, run, _call(RIGHT, calls), inputs=path)
+    ask(questions, config, run, _call(RIGHT, calls), inputs=path)
+    with open(path, "a") as out:
+        out.write("\n")
+    with pytest.raises(ValueError, match="input_sha256"):
+        ask(questions, config, run, _call(RIGHT, calls), inputs=path)
+
+
+def test_unknown_tasks_are_refused_by_the_split(spark):
+    rows = spark.createDataFrame([("f", "0:0", "YN"), ("f", "0:1", "XX")], "source_file string, key string, q_type string")
+    with pytest.raises(Exception, match="unsupported task: XX"):
+        stratified_split(rows).collect()
+
+
+@pytest.mark.parametrize("bits", [3, 14])
+def test_split_takes_the_smallest_hashes(spark, monkeypatch, bits):
+    import hashlib
+
+    from answerframe.operators import split
+
+    monkeypatch.setattr(split, "_LEVEL_BITS", bits)
+    questions = _many(spark, 700)
+    rows = stratified_split(questions, eval_ratio=0.31, seed=5).select("q_type", "source_file", "key", "is_eval").collect()
+    for task in ("YN", "FR", "FB", "CO"):
+        own = sorted((hashlib.md5(f"5:{r.source_file}:{r.key}".encode()).hexdigest(), r.is_eval) for r in rows if r.q_type == task)
+        taken = max(1, round(len(own) * 0.31))
+        assert [e for _, e in own] == [True] * taken + [False] * (len(own) - taken)
+
+
+def test_split_with_equal_keys_ends(spark):
+    rows = spark.createDataFrame([("f", "same", "YN")] * 6 + [("f", "other", "YN")] * 2, "source_file string, key string, q_type string")
+    sides = {(r.key, r.is_eval) for r in stratified_split(rows, eval_ratio=0.1).collect()}
+    assert len(sides) == 2
