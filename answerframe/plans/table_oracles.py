@@ -152,10 +152,17 @@ _PARSED = """parsed AS (
     WHEN NOT json_valid(content) OR reason IS NOT NULL OR json_type(reasoning_text) <> 'VARCHAR' THEN 'InvalidResponse' END AS error
   FROM ruled)"""
 
+def _heads(first: int, n: int) -> str:
+    """Outputs of the fixed linear map: each the sum of every eighteenth dimension."""
+    sums = ["+".join(f"CAST(embedding[{d + 1}] AS DOUBLE)" for d in range(h, 64, 18)) for h in range(first, first + n)]
+    return "[" + ", ".join(f"CAST(CAST({s} AS FLOAT) AS DOUBLE)" for s in sums) + "]"
+
+
+
 _VECTORS = f"""vectors AS (
   SELECT *, CAST(vec_id AS VARCHAR) AS key, {_TASK.format('vec_id')} AS q_type,
-    CAST(embedding[1:3] AS DOUBLE[]) AS yn, CAST(embedding[4:7] AS DOUBLE[]) AS co, CAST(embedding[8:15] AS DOUBLE[]) AS fr,
-    CAST(embedding[16:18] AS DOUBLE[]) AS fb,
+    {_heads(0, 3)} AS yn, {_heads(3, 4)} AS co, {_heads(7, 8)} AS fr,
+    {_heads(15, 3)} AS fb,
     CASE vec_id % 3 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['C', 'A'] ELSE ['B', 'D'] END AS candidates,
     {_mask(_TASK.format('vec_id'), '(vec_id * 7 + label)')} AS g
   FROM embeddings),
@@ -488,3 +495,4 @@ ORACLES["read_documents"] = f"""WITH {_CHAT},
       md5(question) AS question_md5, md5(to_json(string_split(story_text, chr(10)))) AS story_md5, question_index AS q_id,
       CASE WHEN labelled THEN {_json_names('q_type', 'g')} END AS answer
     FROM asked_at JOIN story_at USING (story_index)"""
+ORACLES["stream_resumed"] = ORACLES["stream_latest"]

@@ -72,7 +72,7 @@ from answerframe.sources.attempts import append_attempts, read_attempts
 from answerframe.sources.fingerprint import fingerprint
 from answerframe.sources.questions import flatten, labelled, read_documents, read_stories
 from answerframe.sources.sinks import write_documents, write_report, write_requests, write_stories
-from answerframe.streaming.log import read_latest, run_latest, run_tally, stream_attempts
+from answerframe.streaming.log import read_latest, read_published, run_latest, run_tally, stream_attempts
 
 _CONFIG = RunConfig(
     base_url="https://models.example/v1/",
@@ -669,7 +669,7 @@ def _logged(spark: SparkSession, folder: str) -> str:
 def stream_tallies(spark: SparkSession, folder: str) -> DataFrame:
     table, checkpoint = new_folder(spark, "tally"), new_folder(spark, "tally-checkpoint")
     run_tally(stream_attempts(spark, _logged(spark, folder)), table, checkpoint)
-    return spark.read.parquet(table)
+    return read_published(spark, table)
 
 
 def stream_latests(spark: SparkSession, folder: str) -> DataFrame:
@@ -681,6 +681,29 @@ def stream_latests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """A log without numbers, grown in three sessions, with the stream started anew after each.
+
+    Attempts of one key and session are in one file in order, as one asker leaves them.
+    """
+    log, table, checkpoint = (new_folder(spark, name) for name in ("log", "latest", "latest-checkpoint"))
+    attempts = bridge.attempts_from_events(spark, folder)
+    ends = attempts.agg(F.min("position").alias("a"), F.max("position").alias("b")).first()
+    third = (ends["b"] - ends["a"]) // 3 + 1
+    session = F.floor((F.col("position") - ends["a"]) / third)
+    for k in range(3):
+        part = attempts.filter(session == k).repartition("key").sortWithinPartitions("position")
+        append_attempts(
+            part.select("source_file", "key", F.col("position").cast("string").alias("response_id"), F.parse_json(F.to_json("answer")).alias("answer"), "error"),
+            log,
+        )
+        run_latest(stream_attempts(spark, log), table, checkpoint, keep=("answer", "response_id"))
+    latest = read_latest(spark, table, keep=("answer", "response_id"))
+    return latest.select(
+        "key", _joined(F.variant_get("answer", "$", "array<string>")).alias("answer"), F.col("response_id").cast("bigint").alias("position")
+    )
+
+
 # --- relations -------------------------------------------------------------------------------
 
 
@@ -804,6 +827,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fingerprint": fingerprints,
     "stream_tally": stream_tallies,
     "stream_latest": stream_latests,
+    "stream_resumed": stream_resumed,
     "relation_symmetry": relation_symmetry,
     "relation_reach": relation_reach,
     "pair_reach": reached_pairs,

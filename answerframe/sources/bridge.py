@@ -7,6 +7,9 @@ join of a conversation's later turns with its first.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
@@ -210,7 +213,15 @@ def replies_from_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logits_from_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """Head outputs cut from the first 18 dimensions, with a label for each row."""
+    """Head outputs of a fixed linear map of all 64 dimensions, with a label for each row.
+
+    Output h is the sum of every eighteenth dimension from h on, added in that order.
+    """
+
+    def outputs(first: int, n: int) -> Column:
+        dims = [[F.element_at("embedding", d + 1).cast("double") for d in range(h, 64, 18)] for h in range(first, first + n)]
+        return F.array(*[functools.reduce(operator.add, cells).cast("float") for cells in dims])
+
     vectors = table(spark, folder, "embeddings").withColumn("q_type", F.expr(_TASK_BY_REMAINDER.format("vec_id")))
     mask = "(vec_id * 7 + label)"
     return vectors.select(
@@ -218,10 +229,10 @@ def logits_from_embeddings(spark: SparkSession, folder: str) -> DataFrame:
         F.col("vec_id").cast("string").alias("key"),
         "vec_id",
         "q_type",
-        F.slice("embedding", 1, 3).alias("yn"),
-        F.slice("embedding", 4, 4).alias("co"),
-        F.slice("embedding", 8, 8).alias("fr"),
-        F.slice("embedding", 16, 3).alias("fb"),
+        outputs(0, 3).alias("yn"),
+        outputs(3, 4).alias("co"),
+        outputs(7, 8).alias("fr"),
+        outputs(15, 3).alias("fb"),
         F.expr(
             "case vec_id % 3 when 0 then cast(array() as array<string>) when 1 then array('C','A') else array('B','D') end"
         ).alias("candidates"),

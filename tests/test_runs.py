@@ -23,9 +23,9 @@ from answerframe.operators.select import prefix, with_position
 from answerframe.operators.split import split_overlap, stratified_split
 from answerframe.plans.encoder_run import evaluate, predict
 from answerframe.plans.remote_run import RunConfig, ask, finish
-from answerframe.sources.attempts import read_attempts
+from answerframe.sources.attempts import append_attempts, read_attempts
 from answerframe.sources.questions import read_questions
-from answerframe.streaming.log import compact_latest, read_latest, run_latest, run_tally, stream_attempts
+from answerframe.streaming.log import compact_latest, publish, read_latest, read_published, run_latest, run_tally, stream_attempts
 
 
 def _call(answers, log):
@@ -157,7 +157,7 @@ def test_streams_follow_a_growing_log(spark, tmp_path):
     for place in (table, str(tmp_path / "compact")):
         got = {r.key: r.a for r in read_latest(spark, place, position="seq").select("key", F.to_json("answer").alias("a")).collect()}
         assert got == {"a": '["No"]', "b": "[]"}
-    got = {r.outcome: (r.attempts, r.total_tokens) for r in spark.read.parquet(tally).collect()}
+    got = {r.outcome: (r.attempts, r.total_tokens) for r in read_published(spark, tally).collect()}
     assert got == {"OK": (3, 3), "E": (1, 0)}
 
 
@@ -362,3 +362,28 @@ def test_split_with_equal_keys_ends(spark):
     rows = spark.createDataFrame([("f", "same", "YN")] * 6 + [("f", "other", "YN")] * 2, "source_file string, key string, q_type string")
     sides = {(r.key, r.is_eval) for r in stratified_split(rows, eval_ratio=0.1).collect()}
     assert len(sides) == 2
+
+
+def test_readers_keep_what_they_began_with_and_reruns_replace(spark, tmp_path):
+    table = str(tmp_path / "table")
+    publish(spark.range(3), table, 0)
+    early = read_published(spark, table)
+    publish(spark.range(5), table, 1)
+    # A version is written, and its writer lost before the pointer: nobody sees it.
+    spark.range(99).write.parquet(f"{table}/rows-2-lost")
+    assert (early.count(), read_published(spark, table).count()) == (3, 5)
+    publish(spark.range(7), table, 1)
+    assert read_published(spark, table).count() == 7
+
+
+def test_latest_without_numbers_over_restarts(spark, tmp_path):
+    log, table, marks = (str(tmp_path / name) for name in ("log", "table", "marks"))
+    schema = "source_file string, key string, a string, error string"
+    sessions = [[("f", "a", '["Yes"]', None), ("f", "a", '["No"]', None), ("f", "b", None, "E")], [("f", "b", "[]", None), ("f", "a", None, "E")], [("f", "b", "[1]", None), ("f", "c", "[2]", None)]]
+    for rows in sessions:
+        frame = spark.createDataFrame(rows, schema).coalesce(1)
+        append_attempts(frame.select("source_file", "key", F.parse_json("a").alias("answer"), "error"), log)
+        for _ in range(2):
+            run_latest(stream_attempts(spark, log), table, marks)
+    got = {r.key: r.a for r in read_latest(spark, table).select("key", F.to_json("answer").alias("a")).collect()}
+    assert got == {"a": '["No"]', "b": "[1]", "c": "[2]"}
