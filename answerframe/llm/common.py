@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +49,16 @@ def blocks(texts: Sequence[str | None], budget: int) -> Iterator[slice]:
         size += n
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def map_rows(docs: DataFrame, run: Callable, added: Sequence[T.StructField]) -> DataFrame:
+    """``mapInPandas`` over rows that keep all their columns and get ``added`` ones.
+
+    Whole numbers pass as text: pandas would turn a column with a null into floats, which cannot hold large ids.
+    """
+    whole = [f for f in docs.schema.fields if isinstance(f.dataType, T.IntegralType)]
+    names = {f.name for f in whole}
+    cast = lambda df, to: df.select(*[F.col(f"`{c}`").cast(to[c]).alias(c) if c in to else F.col(f"`{c}`") for c in df.columns])
+    fields = [T.StructField(f.name, T.StringType()) if f.name in names else f for f in docs.schema.fields]
+    mapped = cast(docs, dict.fromkeys(names, "string")).mapInPandas(run, T.StructType([*fields, *added]))
+    return cast(mapped, {f.name: f.dataType for f in whole})

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerframe.llm.common import blocks, share_of
+from answerframe.llm.common import blocks, map_rows, share_of
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -262,5 +262,4 @@ def identify(docs: DataFrame, model: Model, block_chars: int = 8_000_000) -> Dat
                     out[name] = [m[i] for m in made]
                 yield out
 
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(k, v) for k, v in new.items()]])
-    return docs.mapInPandas(run, schema)
+    return map_rows(docs, run, [T.StructField(k, v) for k, v in new.items()])

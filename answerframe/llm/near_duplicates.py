@@ -161,12 +161,14 @@ def near_duplicates(
         for frame in batches:
             sets = [shingle_set(t if isinstance(t, str) else None, size) for t in frame["text"]]
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "node": [_mark(s) for s in sets],
+                "doc_id": frame["doc_id"], "n_shingles": [len(s) for s in sets], "node": [_mark(s) for s in sets],
                 "signature": [signer.sign(s).tobytes() if len(s) else None for s in sets],
             })
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = written(own.mapInPandas(sign, "doc_id long, n_shingles long, node binary, signature binary"), "signed")
+    # An id passes as text: beside a null, pandas would make a float of it.
+    signed = own.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(sign, "doc_id string, n_shingles long, node binary, signature binary")
+    signed = written(signed.withColumn("doc_id", F.col("doc_id").cast("bigint")), "signed")
     alive = signed.filter("node is not null and doc_id is not null")
     # A node is a set of shingles, named by its fingerprint; ``rep`` is the smallest id that has it.
     classes = written(alive.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerframe.llm.common import blocks, share_of, words
+from answerframe.llm.common import blocks, map_rows, share_of, words
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D], dtype=np.uint64)
 _EDGES = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -135,4 +135,4 @@ def score(docs: DataFrame, model: Model, block_chars: int = 2_000_000) -> DataFr
             batch["toxic_score"] = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield batch
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
+    return map_rows(docs, run, [T.StructField("toxic_score", T.DoubleType())])

@@ -6,7 +6,7 @@ folder and reads them back, so a lost executor never goes back beyond a stage.
 
 * language: texts without a letter go; if nothing could be learned, only those
 * near_duplicates: one document of each group stays, the one with the smallest id; rows that
-  repeat an id become one (the first by text); rows without an id stay
+  repeat an id become one (the first by text, null last); rows without an id stay
 * decontaminate: documents that hold a benchmark item go
 * secrets: every secret is replaced by a mask; no document goes
 * mix: each document comes as often as the mix takes it, numbered by ``copy``
@@ -53,7 +53,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     kept = near_duplicates.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), "source", "lang", "n_chars"))
     first = docs.join(kept, "doc_id", "left_semi").withColumn("place", place).filter("place = 1")
     return first.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
 
@@ -93,6 +93,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    before = spark.conf.get(_BATCH)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        # The last stage runs no Python, so the caller's setting is back before its rows are made.
+        spark.conf.set(_BATCH, before)
     return STAGES[-1][1](spark, docs, sf_dir)
