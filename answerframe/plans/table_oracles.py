@@ -231,6 +231,7 @@ def _story(text: str) -> str:
 
 
 _CHOICES = "(CASE q_type WHEN 'FB' THEN 'A | B | C' WHEN 'FR' THEN '0 | 1 | 2 | 3 | 4 | 5 | 6 | 7' WHEN 'CO' THEN 'first | second | both | neither' ELSE '' END)"
+_TOLD = f"md5(story_text) AS story_md5, md5(question) AS question_md5, q_type, replace({_CHOICES}, ' | ', ',') AS candidates"
 _TEXT = (
     f"('Câu chuyện: ' || {_story('story_text')} || chr(10) || 'Câu hỏi: ' || question"
     f" || CASE WHEN {_CHOICES} <> '' THEN chr(10) || 'Các lựa chọn: ' || {_CHOICES} ELSE '' END)"
@@ -374,9 +375,11 @@ ORACLES: dict[str, str] = {
         CASE WHEN q_type = 'FB' THEN 0 ELSE 1 END AS min_items,
         CASE q_type WHEN 'FR' THEN 8 WHEN 'FB' THEN 2 ELSE 1 END AS max_items, 'true' AS strict, 'false' AS extra FROM replies""",
     "build_requests": f"""WITH {_CHAT} SELECT key, 'example-model' AS model,
-        md5('Answer only from the story.' || chr(10) || 'Return "reasoning" and "answer".') AS prompt_md5, md5(question) AS question_md5,
-        q_type, 1200 AS max_tokens, 'spatial_answer' AS schema_name FROM chat""",
-    "write_requests": f"WITH {_CHAT} SELECT key, CAST(0 AS DOUBLE) AS temperature, md5('user') AS role_md5 FROM chat",
+        md5('Answer only from the story.' || chr(10) || 'Return "reasoning" and "answer".') AS prompt_md5, {_TOLD},
+        CASE q_type WHEN 'YN' THEN 'Yes,No,DK' WHEN 'CO' THEN '0,1,2,3' WHEN 'FR' THEN '0,1,2,3,4,5,6,7' ELSE 'A,B,C' END AS allowed,
+        CASE q_type WHEN 'FB' THEN 0 ELSE 1 END AS fewest, CASE q_type WHEN 'FR' THEN 8 WHEN 'FB' THEN 3 ELSE 1 END AS most,
+        1200 AS max_tokens, 'spatial_answer' AS schema_name FROM chat""",
+    "write_requests": f"WITH {_CHAT} SELECT key, CAST(0 AS DOUBLE) AS temperature, 'user' AS role, 'example-model' AS model, {_TOLD} FROM chat",
     "leak_audit": f"""WITH {_CHAT} SELECT 'whole' AS form, field, count(*) AS requests FROM (
         SELECT unnest(list_filter(['q_id', CASE WHEN labelled THEN 'answer' END, CASE WHEN q_type = 'YN' THEN 'reasoning_type' END],
           lambda f: f IS NOT NULL)) AS field FROM chat) GROUP BY field""",

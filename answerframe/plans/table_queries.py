@@ -387,15 +387,29 @@ def _conversation_requests(spark: SparkSession, folder: str) -> DataFrame:
     return build_requests(questions.withColumn("story", F.col("story_parts")), _CONFIG)
 
 
+def _told(user: Column) -> list[Column]:
+    """What a request's user message says: whole story, question, task and choices."""
+    listed = lambda field: F.from_json(F.get_json_object(user, f"$.{field}"), "array<string>")
+    return [
+        F.md5(F.array_join(listed("story"), "\n")).alias("story_md5"),
+        F.md5(F.get_json_object(user, "$.question")).alias("question_md5"),
+        F.get_json_object(user, "$.q_type").alias("q_type"),
+        F.array_join(listed("candidate_answers"), ",").alias("candidates"),
+    ]
+
+
 def requests_built(spark: SparkSession, folder: str) -> DataFrame:
     requests = _conversation_requests(spark, folder)
     user = F.get_json_object("body", "$.messages[1].content")
+    answer = "$.response_format.json_schema.schema.properties.answer"
     return requests.select(
         "key",
         F.get_json_object("body", "$.model").alias("model"),
         F.md5(F.get_json_object("body", "$.messages[0].content")).alias("prompt_md5"),
-        F.md5(F.get_json_object(user, "$.question")).alias("question_md5"),
-        F.get_json_object(user, "$.q_type").alias("q_type"),
+        *_told(user),
+        F.array_join(F.from_json(F.get_json_object("body", f"{answer}.items.enum"), "array<string>"), ",").alias("allowed"),
+        F.get_json_object("body", f"{answer}.minItems").cast("int").alias("fewest"),
+        F.get_json_object("body", f"{answer}.maxItems").cast("int").alias("most"),
         F.get_json_object("body", "$.max_completion_tokens").cast("int").alias("max_tokens"),
         F.get_json_object("body", "$.response_format.json_schema.name").alias("schema_name"),
     )
@@ -409,7 +423,9 @@ def requests_written(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(
         "key",
         F.variant_get("body", "$.temperature", "double").alias("temperature"),
-        F.md5(F.variant_get("body", "$.messages[1].role", "string")).alias("role_md5"),
+        F.variant_get("body", "$.messages[1].role", "string").alias("role"),
+        F.variant_get("body", "$.model", "string").alias("model"),
+        *_told(F.variant_get("body", "$.messages[1].content", "string")),
     )
 
 

@@ -18,8 +18,8 @@ def write_stories(stories: DataFrame, path: str) -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A report of few rows as one JSON-lines file."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """A report as JSON lines: one file if it is small, as small partitions are merged, and several if it is not."""
+    report.hint("rebalance").write.mode("overwrite").json(path)
 
 
 def document_lines(stories: DataFrame) -> DataFrame:
