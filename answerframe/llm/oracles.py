@@ -27,10 +27,20 @@ ruled as (
   from parsed),
 once as (select doc_id as page_id, min(quality) as good from labels where doc_id is not null and quality is not null group by 1),
 counts as (select host, count(*) as n, sum(good) as good from parsed join once using (page_id) group by 1),
-h as (
-  select host, coalesce(n, 0) as n, coalesce(good, 0)::bigint as good, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain,
-    list_extract(string_split(host, '.'), -1) as suffix
+named as (
+  select host, coalesce(n, 0) as n, coalesce(good, 0)::bigint as good,
+    regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]$', '') as name
   from (select distinct host from parsed) left join counts using (host)),
+suffixed as (
+  select *, string_split(name, '.') as labels, case
+    when regexp_matches(name, '^([0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}|\\[.*\\])$') then '[address]'
+    when regexp_matches(name, '(^|[.])(ac|co|com|edu|go|gob|gov|mil|ne|net|or|org)[.][a-z][a-z]$') then array_to_string(list_slice(string_split(name, '.'), -2, -1), '.')
+    else list_extract(string_split(name, '.'), -1) end as suffix
+  from named),
+h as (
+  select host, n, good, suffix, case when suffix = '[address]' then name
+    else array_to_string(list_slice(labels, greatest(1, len(labels) - len(string_split(suffix, '.'))), len(labels)), '.') end as domain
+  from suffixed),
 d as (select domain, suffix, sum(n)::bigint as n, sum(good)::bigint as good from h group by all),
 s as (select suffix, sum(n)::bigint as n, sum(good)::bigint as good from d group by all),
 o as (select case when sum(n) > 0 then sum(good) / sum(n)::double else 1.0 end as overall from s),

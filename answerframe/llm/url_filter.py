@@ -10,7 +10,8 @@ Counts are summed before they are shuffled, so a host with a third of all pages
 more than any other. Only three numbers per level reach the driver.
 
 Nulls and ties: a null URL, or one without ``://``, has an empty host and path; such pages
-form one host of their own. Null outcomes count as unlabelled. Without labelled pages
+form one host of their own. User, port and last dot are parts of the host but not of its domain;
+a numeric address is its own domain, and all of them share a suffix. Null outcomes count as unlabelled. Without labelled pages
 nothing is blocked. Of rules that fit, the longest wins; of equal ones, the first given.
 Repeated pages are judged alike; repeated labels of a page count once (the worst of them).
 """
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Public suffixes of two labels under which domains are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "com.cn", "co.za")
+# Labels that below a country's two letters are part of the suffix, as in ``co.uk`` and ``com.sg``.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "or", "org")
+# What stands for the suffix of numeric addresses; no name can be it.
+ADDRESS = "[address]"
 
 
 def host_of(url: Column) -> Column:
@@ -41,14 +44,26 @@ def _after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user, port and last dot."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
+    """What domains are registered under: the longest of ``suffixes`` that fits, or by rule the last one or two labels."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    found = F.when(name.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"), ADDRESS)
+    for suffix in sorted(suffixes, key=len, reverse=True):
+        found = found.when((name == suffix) | name.endswith("." + suffix), suffix)
+    return found.when(two.rlike(rf"^({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$"), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
+    """The suffix and one label more; an address is its own domain."""
+    suffix, labels = suffix_of(host, suffixes), F.split(name_of(host), r"\.")
+    n = F.size(F.split(suffix, r"\.")) + 1
+    return F.when(suffix == ADDRESS, name_of(host)).otherwise(F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), "."))
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -87,7 +102,7 @@ def strength(rates: DataFrame) -> float:
     return min(10_000.0, max(1.0, 1 / alike - 1))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, suffixes: Sequence[str] = ()) -> DataFrame:
     """Posterior of every host of ``hosts``: ``host, n, good, mean, upper``.
 
     ``outcomes`` has ``host`` and ``good`` (1 or 0), a row for each labelled page. Hosts
@@ -99,8 +114,8 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
     per_host = (
         hosts.select("host").distinct().join(counts, "host", "left")
         .select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
-        .withColumn("domain", domain_of(F.col("host")))
-        .withColumn("suffix", suffix_of(F.col("host")))
+        .withColumn("domain", domain_of(F.col("host"), suffixes))
+        .withColumn("suffix", suffix_of(F.col("host"), suffixes))
     )
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
     per_domain = per_host.groupBy("domain", "suffix").agg(*sums)
@@ -127,15 +142,17 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
 
 
 def judge(
-    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), min_good: float = 0.5, z: float = 1.645
-) -> DataFrame:
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), min_good: float = 0.5, z: float = 1.645,
+    suffixes: Sequence[str] = (),
+) -> DataFrame:
     """``page_id, host, path, rule, verdict, upper`` for every page.
 
-    ``outcomes`` has ``page_id`` and ``good``. ``rules`` become part of the plan: some hundreds at most.
+    ``outcomes`` has ``page_id`` and ``good``. ``rules`` and ``suffixes`` (further public
+    suffixes, such as ``blogs.example``) become part of the plan: some hundreds at most.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     once = outcomes.filter("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
-    reputation = host_reputation(parsed.join(once, "page_id").select("host", "good"), parsed, z)
+    reputation = host_reputation(parsed.join(once, "page_id").select("host", "good"), parsed, z, suffixes)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     # A host may hold a third of the pages. If the reputations are too many to broadcast,
     # the adaptive plan splits such a host's pages over tasks.
