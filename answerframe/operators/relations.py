@@ -7,9 +7,12 @@ object of a scene with every other, it is evaluated for the pairs that are asked
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import functools
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from answerframe.constants import CONTRADICTS, DIRECTIONAL, FR_DK, INVERSE, RELATIONS
+from answerframe.operators import scenes
 from answerframe.session import written
 
 FACT = ("story_id", "subj", "rel", "obj")
@@ -78,6 +81,8 @@ _PAIR = ["story_id", "subj", "rel", "obj"]
 ARROWS_PER_PART = 100_000
 # Rounds after which what was seen so far is written as one table.
 MERGE_EVERY = 4
+# A scene with more rows (facts, links and asked pairs) than this is searched by joins, one with fewer within a task.
+SCENE_ROWS = 500
 
 
 def ancestors(contains: DataFrame, items: DataFrame) -> DataFrame:
@@ -169,20 +174,80 @@ def _ties(contains: DataFrame, facts: DataFrame) -> DataFrame:
     return written(moves[0].unionByName(moves[1]).unionByName(moves[2]).unionByName(moves[3]), "ties")
 
 
+def _masks(rel: Column, kind: T.DataType) -> Column:
+    """Bits of the relations in ``rel``, a name or an array of names; 0 if there are none."""
+    has = (lambda r: F.array_contains(rel, r)) if isinstance(kind, T.ArrayType) else (lambda r: rel == r)
+    bits = [F.when(has(r), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RELATIONS)]
+    return functools.reduce(lambda x, y: x.bitwiseOR(y), bits)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """``story_id, a, b, mask`` as facts, one for each bit."""
+    names = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(r)) for i, r in enumerate(RELATIONS)]))
+    return rows.select("story_id", F.col("a").alias("subj"), F.explode(names).alias("rel"), F.col("b").alias("obj")).select(*FACT)
+
+
+def _in_scenes(
+    facts: DataFrame, asked: DataFrame, contains: DataFrame | None, scene_rows: int, both_ways: bool
+) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame | None] | None]:
+    """What follows in scenes of at most ``scene_rows`` rows; and facts, asked pairs and links of the larger scenes, if any.
+
+    Only rows of small scenes meet by scene, so a task never holds more of one scene than that. ``both_ways``: facts
+    hold turned round, too. The driver learns only whether there is a larger scene.
+    """
+
+    def part(df: DataFrame, a: str, b: str, kind: int, mask: Column) -> DataFrame:
+        rows = df.select("story_id", F.col(a).alias("a"), F.col(b).alias("b"), F.lit(kind).cast("tinyint").alias("kind"), mask.cast("int").alias("mask"))
+        return rows.dropna(subset=["story_id", "a", "b"])
+
+    stated, wanted = (_masks(F.col("rel"), df.schema["rel"].dataType) for df in (facts, asked))
+    rows = part(facts, "subj", "obj", scenes.FACT_BOTH_WAYS if both_ways else scenes.FACT, stated).filter("mask > 0")
+    rows = rows.unionByName(part(asked, "subj", "obj", scenes.ASKED, wanted).filter("mask > 0"))
+    if contains is not None:
+        rows = rows.unionByName(part(contains, "container", "item", scenes.LINK, F.lit(0)))
+    rows = written(rows, "scenes")
+    large = written(rows.groupBy("story_id").count().filter(F.col("count") > scene_rows).select("story_id"), "large-scenes")
+    rest = None
+    if not large.isEmpty():
+        other = rows.join(large, "story_id", "left_semi")
+        kept = lambda kinds: _named(other.filter(F.col("kind").isin(*kinds)))
+        links = other.filter(F.col("kind") == scenes.LINK).select("story_id", F.col("a").alias("container"), F.col("b").alias("item"))
+        rest = kept([scenes.FACT, scenes.FACT_BOTH_WAYS]), kept([scenes.ASKED]), None if contains is None else links
+        rows = rows.join(large, "story_id", "left_anti")
+    schema = T.StructType([rows.schema[c] for c in ("story_id", "a", "b", "mask")])
+    found = rows.repartition("story_id").sortWithinPartitions("story_id").mapInArrow(scenes.answered, schema)
+    types = {f.name: f.dataType for f in asked.schema.fields if f.name != "rel"}
+    return _named(found).select(*[F.col(c).cast(types[c]).alias(c) if c in types else c for c in FACT]), rest
+
+
 def pair_reach(
-    facts: DataFrame, asked: DataFrame, contains: DataFrame | None = None, per_part: int = ARROWS_PER_PART
+    facts: DataFrame, asked: DataFrame, contains: DataFrame | None = None, per_part: int = ARROWS_PER_PART, scene_rows: int = 0
 ) -> DataFrame:
     """The asked pairs (``story_id, subj, rel, obj``) that follow from directional facts of the same story and relation.
 
     A pair follows if a path of facts leads from subj to obj. With ``contains`` (``story_id, container, item``) a
     path may also go up from an object to what holds it before a fact and down after one, since what blocks hold
     inherits their direction; so a node is an object and whether a fact has been followed since the last step up.
+    ``rel`` of the asked pairs may be an array: several relations asked in one row.
 
-    The search goes from both ends, a step each in a round, and asks whether they have met: as many rounds as
+    Scenes of at most ``scene_rows`` rows are shuffled once and searched within a task, many at a time. All others are
+    searched by joins, from both ends, a step each in a round, asking whether they have met: as many rounds as
     half the longest path. A round joins only what the round before found. Pairs that have met leave, as
     do those of which one end finds nothing new. A node of very many facts is several join keys.
     The driver learns only whether a round was empty.
     """
+    facts = facts.filter(F.col("rel").isin(*DIRECTIONAL))
+    several = isinstance(asked.schema["rel"].dataType, T.ArrayType)
+    directional = F.array(*map(F.lit, DIRECTIONAL))
+    asked = asked.withColumn("rel", F.array_intersect("rel", directional)) if several else asked.filter(F.col("rel").isin(*DIRECTIONAL))
+    if scene_rows:
+        found, rest = _in_scenes(facts, asked, contains, scene_rows, both_ways=False)
+        return found if rest is None else found.unionByName(_search(*rest, per_part))
+    return _search(facts, asked.withColumn("rel", F.explode("rel")) if several else asked, contains, per_part)
+
+
+def _search(facts: DataFrame, asked: DataFrame, contains: DataFrame | None, per_part: int) -> DataFrame:
+    """``pair_reach`` by joins, for scenes of any size."""
     arrows, large = _arrows(facts, per_part)
     arrows = written(arrows, "arrows")
     ties = None if contains is None else _ties(contains, facts.filter(F.col("rel").isin(*DIRECTIONAL)))
@@ -296,8 +361,8 @@ def answer_from_facts(asked: DataFrame, facts: DataFrame) -> DataFrame:
     return about_pair.unionByName(about_candidates)
 
 
-def probes(asked: DataFrame) -> DataFrame:
-    """``story_id, subj, rel, obj``: the facts that can bear on asked questions, and no others.
+def _probe_rows(asked: DataFrame) -> DataFrame:
+    """``story_id, subj, rel, obj`` of the facts that can bear on asked questions; ``rel`` is an array. Rows may be repeated.
 
     FR asks for every relation of its pair, YN for its own and for the one that contradicts it, CO and FB
     for that of each candidate.
@@ -313,15 +378,29 @@ def probes(asked: DataFrame) -> DataFrame:
         .when(F.col("q_type") == "YN", against)
         .otherwise(F.array("rel"))
     )
-    rows = asked.select("story_id", "obj", relations.alias("rels"), F.explode(subjects).alias("subj"))
-    return rows.select("story_id", "subj", F.explode("rels").alias("rel"), "obj").distinct()
+    return asked.select("story_id", "obj", relations.alias("rel"), F.explode(subjects).alias("subj")).select(*FACT)
+
+
+def probes(asked: DataFrame) -> DataFrame:
+    """``story_id, subj, rel, obj``: the facts that can bear on asked questions, and no others."""
+    return _probe_rows(asked).withColumn("rel", F.explode("rel")).distinct()
 
 
-def closed_facts(facts: DataFrame, contains: DataFrame, demanded: DataFrame) -> DataFrame:
+def closed_facts(facts: DataFrame, contains: DataFrame, demanded: DataFrame, scene_rows: int = SCENE_ROWS) -> DataFrame:
     """Of the demanded facts those that follow by all rules: converses, transitivity, symmetry and containment.
 
+    ``rel`` of the demanded facts may be an array. Near, far and touching are symmetric and never transitive. Scenes of at
+    most ``scene_rows`` rows are searched within a task (see ``pair_reach``), larger ones by joins.
+    """
+    found, rest = _in_scenes(facts, demanded, contains, scene_rows, both_ways=True)
+    return found if rest is None else found.unionByName(_closed_by_joins(*rest))
+
+
+def _closed_by_joins(facts: DataFrame, demanded: DataFrame, contains: DataFrame) -> DataFrame:
+    """``closed_facts`` for scenes of any size.
+
     Of each two converse relations one is searched for (left and above), with facts and demands turned
-    round where needed, so converses cost no step. Near, far and touching are symmetric and never transitive.
+    round where needed, so converses cost no step.
     """
     turn = F.col("rel").isin("right", "below")
     straight = [
@@ -339,4 +418,4 @@ def closed_facts(facts: DataFrame, contains: DataFrame, demanded: DataFrame) ->
 
 def answer_from_closed_facts(asked: DataFrame, facts: DataFrame, contains: DataFrame) -> DataFrame:
     """``answer_from_facts`` over what follows from the facts by all rules, derived for the asked questions only."""
-    return answer_from_facts(asked, closed_facts(facts, contains, probes(asked)))
+    return answer_from_facts(asked, closed_facts(facts, contains, _probe_rows(asked)))

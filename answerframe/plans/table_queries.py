@@ -754,8 +754,8 @@ def nested_directions(spark: SparkSession, folder: str) -> DataFrame:
 
 def reached_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Which asked pairs of line numbers are connected by stated facts of one direction."""
-    asked = bridge.asked_pairs_from_lineitem(spark, folder).select("*", F.explode(F.array(*map(F.lit, DIRECTIONAL))).alias("rel"))
-    return rules.pair_reach(bridge.stated_relations_from_lineitem(spark, folder), asked)
+    asked = bridge.asked_pairs_from_lineitem(spark, folder).withColumn("rel", F.array(*map(F.lit, DIRECTIONAL)))
+    return rules.pair_reach(bridge.stated_relations_from_lineitem(spark, folder), asked, scene_rows=rules.SCENE_ROWS)
 
 
 def answers_from_closed_facts(spark: SparkSession, folder: str) -> DataFrame:
