@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from answerframe.llm.common import blocks
+from answerframe.llm.common import blocks, lean
 
 SHINGLE = 5
 _BLANKS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -318,5 +318,5 @@ def leaks(
                         shares = [pa.array([h[c] for h in hits], pa.float64()) for c in (2, 3, 4)]
                         yield pa.RecordBatch.from_arrays([ids, found, *shares], schema.fieldNames())
 
-        out = out.unionAll(texts.mapInArrow(run, schema))
+        out = out.unionAll(texts.mapInArrow(lean(run), schema))
     return out

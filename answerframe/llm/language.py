@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerframe.llm.common import blocks, map_rows, share_of
+from answerframe.llm.common import blocks, lean, map_rows, share_of
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -108,7 +108,7 @@ def train(docs: DataFrame, max_rows: int = 20_000, bits: int = 17, penalty: floa
                 yield pd.DataFrame({"lang": lang, "kind": kind, "bucket": at, "n": counts[at]})
 
     # Each partition gives a row for each bucket it saw; the sum has at most a table's rows for each language.
-    counted = sample.mapInPandas(count, "lang string, kind string, bucket long, n long")
+    counted = sample.mapInPandas(lean(count), "lang string, kind string, bucket long, n long")
     summed = counted.groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +118,7 @@ def train(docs: DataFrame, max_rows: int = 20_000, bits: int = 17, penalty: floa
                 yield pd.DataFrame([(lang, kind, *packed)], columns=["lang", "kind", "bucket", "n"])
 
     # The driver gets a few long rows of numbers instead of one row object for each count.
-    total = summed.mapInPandas(pack, "lang string, kind string, bucket binary, n binary").toPandas()
+    total = summed.mapInPandas(lean(pack), "lang string, kind string, bucket binary, n binary").toPandas()
     languages = sorted(total["lang"].unique())
     table = np.full((1 << bits, len(languages)), smoothing)
     scripts = np.zeros((len(languages), len(SCRIPTS)))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerframe.llm.common import words
+from answerframe.llm.common import lean, words
 from answerframe.session import written
 
 PAIR = "a binary, b binary"
@@ -144,7 +144,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int, size: int) ->
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(check, PAIR)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(lean(check), PAIR)
 
 
 def near_duplicates(
@@ -167,12 +167,12 @@ def near_duplicates(
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # An id passes as text: beside a null, pandas would make a float of it.
-    signed = own.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(sign, "doc_id string, n_shingles long, node binary, signature binary")
+    signed = own.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(lean(sign), "doc_id string, n_shingles long, node binary, signature binary")
     signed = written(signed.withColumn("doc_id", F.col("doc_id").cast("bigint")), "signed")
     alive = signed.filter("node is not null and doc_id is not null")
     # A node is a set of shingles, named by its fingerprint; ``rep`` is the smallest id that has it.
     classes = written(alive.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    keyed = written(classes.select("node", "signature").mapInPandas(_bands(bands, rows), "node binary, key long"), "bands")
+    keyed = written(classes.select("node", "signature").mapInPandas(lean(_bands(bands, rows)), "node binary, key long"), "bands")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     buckets = written(keyed.join(shared.select("key"), "key"), "buckets")
     texts = written(_texts(own, classes, buckets, size, Signer(sketch, seed=12)), "texts")
@@ -252,7 +252,7 @@ def _texts(own: DataFrame, classes: DataFrame, buckets: DataFrame, size: int, si
                     rows.append((node, text, (signer.sign(own) >> np.uint32(4)).astype(np.uint8).tobytes()))
             yield pd.DataFrame(rows, columns=["node", "text", "sketch"])
 
-    found = own.filter("text is not null").join(needed, "doc_id").select("node", "text").mapInPandas(own_set, "node binary, text string, sketch binary")
+    found = own.filter("text is not null").join(needed, "doc_id").select("node", "text").mapInPandas(lean(own_set), "node binary, text string, sketch binary")
     return found.groupBy("node").agg(F.min("text").alias("text"), F.first("sketch").alias("sketch"))
 
 
@@ -294,7 +294,7 @@ def _survivors(pairs: DataFrame, signatures: DataFrame, least: np.ndarray, batch
 
     s = signatures.select(F.col("node").alias("a"), F.col("signature").alias("s"))
     t = signatures.select(F.col("node").alias("b"), F.col("signature").alias("t"))
-    return pairs.join(s, "a").join(t, "b").mapInPandas(prune, PAIR)
+    return pairs.join(s, "a").join(t, "b").mapInPandas(lean(prune), PAIR)
 
 
 def _blocks(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, least: np.ndarray, batch: int, block: int) -> DataFrame:
