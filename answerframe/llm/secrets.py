@@ -7,13 +7,15 @@ goes to a logistic unit. It is trained on labelled findings: runs that hold a fi
 are secrets; runs of plain words and short numbers, with no finding and no telling word before
 them, are not; all others have no label and are only scored. Findings of patterns look alike, so
 each is learned once more in other alphabets and without a telling word, beside a plain run made of
-words, numbers and dates (``written_anew``). A third of the sample, with such copies of its own, calibrates the scores (Platt) and sets the threshold: the highest at which the
-wanted share of its secrets is found. Runs at or above it are added whole as kind ``net``, unless
+words, numbers and dates (``written_anew``). A third of the examples, chosen by a hash, with such copies of its own, calibrates the scores
+(Platt) and sets the threshold: the highest at which the wanted share of its secrets is found. Runs at or above it are added whole as kind ``net``, unless
 a pattern found exactly the same; what the patterns find always stays.
 
-Training looks at a bounded sample of documents (``max_docs``, chosen by a hash of the id) and
-of their candidates (``max_candidates``, half of each label). The scan is a map over whole texts
-without a shuffle.
+Training takes every distinct labelled piece of all texts. They are shuffled twice: to become distinct, and by
+a hash into parts of bounded size, each a row of a written table. In each round every part goes on from the
+common network over all its examples, and the mean of what the parts learned is the next one; only its 2,253
+numbers pass through the driver, as do the counts of held-out scores rounded to 1/256. The scan is a map over
+whole texts without a shuffle.
 
 Nulls and ties: a null text has no secrets. Without examples of both classes nothing is added.
 Longer candidates than the network's width are scored in pieces, and the highest counts.
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import accumulate, takewhile
 from string import ascii_letters, ascii_lowercase, ascii_uppercase
 
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerframe.llm.common import map_rows, share_of
+from answerframe.llm.common import blocks, lean, map_rows
 from answerframe.session import written
 
 KINDS = ("assign", "access", "hex", "net")
@@ -59,6 +61,11 @@ _ALPHABETS = [
 ] + [np.frombuffer(ascii_letters.encode(), dtype=np.uint8) - 29]
 _MARKS = np.frombuffer(b"-_/.=", dtype=np.uint8) - 29
 
+# Learning: examples of a part, the least of a class in each part, steps of a part in a round at least, step widths of the rounds.
+PART, LEAST, STEPS, RATES = 32_768, 512, 200, (0.01, 0.01, 0.005, 0.002)
+_LEARNED = ("embedding", "filters", "filter_bias", "unit", "unit_bias")
+_BATCH, _TEXT, _FINE, _UNIT = 128, 4_000_000, 256, 1 << 32
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """``start, end, kind`` of what the patterns find."""
@@ -170,88 +177,200 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -35, 35)))
 
 
-def fit(codes: np.ndarray, labels: np.ndarray, epochs: int = 12, width: int = 10, n_filters: int = 24, seed: int = 5) -> Network:
-    """Adam on the logistic loss, both classes of equal weight."""
+def untrained(width: int = 10, n_filters: int = 24, seed: int = 5) -> Network:
     rng = np.random.default_rng(seed)
-    net = Network(
+    return Network(
         rng.normal(0, 0.3, (_CLASSES, width)).astype(np.float32), rng.normal(0, 0.2, (5 * width, n_filters)).astype(np.float32),
         np.zeros(n_filters, np.float32), rng.normal(0, 0.2, 2 * n_filters).astype(np.float32), 0.0,
     )
-    names = ("embedding", "filters", "filter_bias", "unit", "unit_bias")
-    moments = {k: [np.zeros_like(np.asarray(getattr(net, k), dtype=np.float32)) for _ in range(2)] for k in names}
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    n, step = _LENGTH - net.reach + 1, 0
-    out_places = np.r_[0 : AROUND - 2, AROUND + WIDTH - 2 : n]
-    for _ in range(epochs):
-        order = rng.permutation(len(labels))
-        for batch in (order[i : i + 128] for i in range(0, len(order), 128)):
-            columns, responses, pooled, z = net.forward(codes[batch])
-            d = ((1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            d_pooled = d[:, None] * net.unit
-            d_responses = np.zeros_like(responses)
-            rows, cols = np.arange(len(batch))[:, None], np.arange(n_filters)[None, :]
-            top_in = responses[:, AROUND - 2 : AROUND + WIDTH - 2].argmax(axis=1) + AROUND - 2
-            top_out = out_places[responses[:, out_places].argmax(axis=1)]
-            np.add.at(d_responses, (rows, top_in, cols), d_pooled[:, :n_filters])
-            np.add.at(d_responses, (rows, top_out, cols), d_pooled[:, n_filters:])
-            d_responses *= responses > 0
-            d_columns = d_responses @ net.filters.T
-            d_embedding = np.zeros_like(net.embedding)
-            for k in range(net.reach):
-                np.add.at(d_embedding, codes[batch][:, k : k + n], d_columns[:, :, k * width : (k + 1) * width])
-            gradients = {
-                "embedding": d_embedding, "filters": np.einsum("btc,btf->cf", columns, d_responses, optimize=True),
-                "filter_bias": d_responses.sum(axis=(0, 1)), "unit": pooled.T @ d, "unit_bias": d.sum(),
-            }
+
+
+def gradients(net: Network, codes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted logistic loss. Only the place of each filter's strongest response takes part."""
+    width, n_filters, n = net.embedding.shape[1], len(net.filter_bias), _LENGTH - net.reach + 1
+    parts = net.filters.reshape(net.reach, width, n_filters)
+    shares = net.embedding @ parts
+    codes = codes.astype(np.intp)
+    responses = np.take(shares[0], codes[:, :n], axis=0)
+    for k in range(1, net.reach):
+        responses += np.take(shares[k], codes[:, k : k + n], axis=0)
+    responses = np.ascontiguousarray(responses.transpose(0, 2, 1))
+    ends = np.concatenate([responses[:, :, : AROUND - 2], responses[:, :, AROUND + WIDTH - 2 :]], axis=2)
+    top_in = responses[:, :, AROUND - 2 : AROUND + WIDTH - 2].argmax(axis=2) + AROUND - 2
+    top_out = ends.argmax(axis=2)
+    top_out += WIDTH * (top_out >= AROUND - 2)
+    top = np.concatenate([top_in, top_out], axis=1)
+    both = np.tile(np.arange(n_filters), 2)
+    rows = np.arange(len(codes))[:, None]
+    pooled = np.maximum(responses[rows, both, top] + np.tile(net.filter_bias, 2), 0)
+    z = pooled @ net.unit + net.unit_bias
+    d = ((1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels) * weight / len(codes)).astype(np.float32)
+    d_top = d[:, None] * net.unit * (pooled > 0)
+    size = _CLASSES * n_filters
+    d_shares = np.stack([np.bincount((codes[rows, top + k] * n_filters + both).ravel(), d_top.ravel(), size) for k in range(net.reach)])
+    d_shares = d_shares.reshape(net.reach, _CLASSES, n_filters).astype(np.float32)
+    return {
+        "embedding": (d_shares @ parts.transpose(0, 2, 1)).sum(axis=0), "filters": (net.embedding.T @ d_shares).reshape(net.filters.shape),
+        "filter_bias": d_top.sum(axis=0).reshape(2, n_filters).sum(axis=0), "unit": pooled.T @ d, "unit_bias": d.sum(),
+    }
+
+
+def learn(net: Network, codes: np.ndarray, labels: np.ndarray, steps: int, rate: float, seed: int) -> Network:
+    """Adam on the logistic loss from ``net`` on, both classes of equal weight.
+
+    Each pass takes all examples, those of a rare class several times, and there are as many passes as ``steps`` take.
+    """
+    rng = np.random.default_rng(seed)
+    net = replace(net)
+    moments = {k: [np.zeros_like(np.asarray(getattr(net, k), dtype=np.float32)) for _ in range(2)] for k in _LEARNED}
+    sides = [np.flatnonzero(labels == y) for y in (0, 1)]
+    most = max(map(len, sides))
+    taken = np.concatenate([np.tile(side, max(1, most // max(1, 3 * len(side)))) for side in sides])
+    shown = np.bincount(labels[taken], minlength=2)
+    weight = (0.5 * len(taken) / np.maximum(shown, 1))[labels]
+    step = 0
+    for _ in range(max(1, -(-steps * _BATCH // max(1, len(taken))))):
+        order = rng.permutation(taken)
+        for batch in (order[i : i + _BATCH] for i in range(0, len(order), _BATCH)):
             step += 1
-            for k, g in gradients.items():
+            for k, g in gradients(net, codes[batch], labels[batch], weight[batch]).items():
                 first, second = moments[k]
                 moments[k] = [0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g]
                 first, second = (m / (1 - decay**step) for m, decay in zip(moments[k], (0.9, 0.999), strict=True))
-                setattr(net, k, getattr(net, k) - 0.01 * first / (np.sqrt(second) + 1e-8))
+                setattr(net, k, getattr(net, k) - rate * first / (np.sqrt(second) + 1e-8))
     return net
 
 
+def fit(codes: np.ndarray, labels: np.ndarray, epochs: int = 12, width: int = 10, n_filters: int = 24, seed: int = 5) -> Network:
+    """A network from these examples alone."""
+    return learn(untrained(width, n_filters, seed), codes, labels, epochs * len(labels) // _BATCH, 0.01, seed)
+
+
 def calibrate(net: Network, codes: np.ndarray, labels: np.ndarray, recall: float) -> Network:
     """Platt scaling on held-out examples, then the highest threshold with at least ``recall``."""
-    z = net.scores(codes)
-    target = np.where(labels == 1, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((labels == 0).sum() + 2))
+    return calibrate_counted(net, net.scores(codes), labels, np.ones(len(labels)), recall)
+
+
+def calibrate_counted(net: Network, z: np.ndarray, labels: np.ndarray, counts: np.ndarray, recall: float) -> Network:
+    """The same from the sums of held-out examples, each with how many have it."""
+    secrets, plain = counts[labels == 1].sum(), counts[labels == 0].sum()
+    target = np.where(labels == 1, (secrets + 1) / (secrets + 2), 1 / (plain + 2))
+    mean = lambda x: (x * counts).sum() / counts.sum()
     a, b = 1.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -35, 35)))
-        g = np.array([((p - target) * z).mean(), (p - target).mean()])
+        g = np.array([mean((p - target) * z), mean(p - target)])
         w = p * (1 - p) + 1e-6
-        h = np.array([[(w * z * z).mean() + 1e-6, (w * z).mean()], [(w * z).mean(), w.mean()]])
+        h = np.array([[mean(w * z * z) + 1e-6, mean(w * z)], [mean(w * z), mean(w)]])
         a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
     net.slope, net.shift = float(a), float(b)
-    scores = np.sort(net.probability(codes)[labels == 1])
-    net.threshold = float(scores[int((1 - recall) * len(scores))])
+    p = (1 / (1 + np.exp(-np.clip(a * z + b, -35, 35))))[labels == 1]
+    order = np.argsort(p, kind="stable")
+    passed = np.cumsum(counts[labels == 1][order])
+    net.threshold = float(p[order][np.searchsorted(passed, int((1 - recall) * secrets), side="right")])
     return net
 
 
-def train(docs: DataFrame, max_docs: int = 20_000, max_candidates: int = 6_000, recall: float = 0.95) -> Network | None:
-    """Learn from ``doc_id, text``; None if the sample lacks secrets or other candidates."""
-    texts = docs.filter("text is not null").select("doc_id", "text")
-    sample = texts.filter(share_of(max_docs, texts, "doc_id"))
+def examples(docs: DataFrame) -> DataFrame:
+    """``codes, label`` of the distinct labelled pieces of all texts."""
 
-    def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*w, label) for text in batch["text"] for a, b, label in labelled(text, base_spans(text)) for w in windows(text, a, b)]
-            yield pd.DataFrame(rows, columns=["before", "inner", "after", "label"])
-
-    found = written(sample.mapInPandas(examples, "before string, inner string, after string, label int").distinct(), "secret-examples")
-    places = (F.xxhash64("before", "inner", "after"), "before", "inner", "after")
-    got = pd.concat([found.filter(F.col("label") == y).orderBy(*places).limit(max_candidates // 2).toPandas() for y in (0, 1)], ignore_index=True)
-    labels = got["label"].to_numpy(dtype=np.int64)
-    codes = encode(list(zip(got["before"], got["inner"], got["after"], strict=True)))
-    held = np.arange(len(labels)) % 3 == 2
-    if any((labels[part] == y).sum() < 5 for part in (held, ~held) for y in (0, 1)):
+            for part in blocks(batch["text"].tolist(), _TEXT):
+                rows: set[tuple[bytes, int]] = set()
+                for text in batch["text"].iloc[part]:
+                    runs = labelled(text, base_spans(text))
+                    if runs:
+                        for owners, codes in _pieces(text, [(a, b) for a, b, _ in runs]):
+                            rows.update((row.tobytes(), runs[k][2]) for row, k in zip(codes, owners.tolist(), strict=True))
+                yield pd.DataFrame(list(rows), columns=["codes", "label"])
+
+    return docs.filter("text is not null").select("text").mapInPandas(lean(run), "codes binary, label int").distinct()
+
+
+def dealt(found: DataFrame, part_size: int = PART) -> tuple[DataFrame, dict[tuple[bool, int], int], int] | None:
+    """All examples in parts of about ``part_size``, a row each: ``held, part, codes, labels, own``; their counts; the parts to learn from.
+
+    A third is held out. Examples of a class with too few for all parts are copied to several, but are ``own`` to one.
+    None, if either side lacks secrets or other candidates.
+    """
+    found = found.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "codes"), F.lit(3)) == 2)
+    counts = {(r["held"], r["label"]): r["count"] for r in found.groupBy("held", "label").count().collect()}
+    if any(counts.get((held, y), 0) < 5 for held in (False, True) for y in (0, 1)):
+        return None
+    parts = {held: -(-(counts[held, 0] + counts[held, 1]) // part_size) for held in (False, True)}
+    n_parts = F.when(F.col("held"), F.lit(parts[True])).otherwise(F.lit(parts[False]))
+    copies = F.coalesce(*[
+        F.when((F.col("held") == held) & (F.col("label") == y), F.lit(min(parts[held], -(-LEAST * parts[held] // n)))) for (held, y), n in counts.items()
+    ])
+    copied = found.select("*", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    placed = copied.withColumn("part", F.pmod(F.pmod(F.xxhash64(F.lit("part"), "codes"), n_parts) + F.col("copy"), n_parts))
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["codes", "label"])
+        flags = [rows["label"].to_numpy(dtype=np.uint8).tobytes(), (rows["copy"] == 0).to_numpy(dtype=np.uint8).tobytes()]
+        return pd.DataFrame([(*key, b"".join(rows["codes"]), *flags)], columns=["held", "part", "codes", "labels", "own"])
+
+    schema = "held boolean, part long, codes binary, labels binary, own binary"
+    packed = placed.groupBy("held", "part").applyInPandas(pack, schema)
+    # A part to a file, so that a reader never holds many at once.
+    return written(packed, "secret-parts", maxRecordsPerFile=1), counts, parts[False]
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for part, codes, labels, own in zip(batch["part"], batch["codes"], batch["labels"], batch["own"], strict=True):
+            yield (
+                int(part), np.frombuffer(codes, np.uint8).reshape(-1, _LENGTH), np.frombuffer(labels, np.uint8).astype(np.int64),
+                np.frombuffer(own, np.uint8) == 1,
+            )
+
+
+def train(docs: DataFrame, recall: float = 0.95, part_size: int = PART) -> Network | None:
+    """Learn from ``text``; None if there are too few secrets or other candidates."""
+    deal = dealt(written(examples(docs), "secret-examples"), part_size)
+    if deal is None:
         return None
-    return calibrate(fit(*written_anew(codes[~held], labels[~held], 7)), *written_anew(codes[held], labels[held], 8), recall)
+    packed, _, n_parts = deal
+    net = untrained()
+    for i, rate in enumerate(RATES):
+        net = _averaged(packed.filter("not held"), net, n_parts, i, rate)
 
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, codes, labels, own in _unpacked(batches):
+            codes, labels = written_anew(codes, labels, 8 + part, own)
+            # Rounded down, so the threshold is never above what the wanted share reaches.
+            z = np.floor(np.clip(net.scores(codes), -128, 128) * _FINE).astype(np.int64)
+            yield pd.DataFrame({"z": z, "label": labels}).value_counts().reset_index(name="n")
 
-def written_anew(codes: np.ndarray, labels: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The examples, and for each secret two more between the surroundings of plain runs.
+    seen = packed.filter("held").mapInPandas(lean(sums), "z long, label long, n long").groupBy("z", "label").agg(F.sum("n").alias("n"))
+    got = seen.orderBy("z", "label").toPandas()
+    return calibrate_counted(net, got["z"].to_numpy() / _FINE, got["label"].to_numpy(), got["n"].to_numpy(dtype=np.float64), recall)
+
+
+def _averaged(packed: DataFrame, net: Network, n_parts: int, turn: int, rate: float) -> Network:
+    """The mean of the networks that the parts learn from ``net`` on, added up in whole numbers: their order changes nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, codes, labels, _ in _unpacked(batches):
+            codes, labels = written_anew(codes, labels, 7 + part * len(RATES) + turn)
+            own = learn(net, codes, labels, STEPS, rate, part * len(RATES) + turn)
+            values = np.concatenate([np.ravel(getattr(own, k)) for k in _LEARNED]).astype(np.float64)
+            yield pd.DataFrame({"place": np.arange(len(values)), "value": np.round(values * _UNIT).astype(np.int64)})
+
+    total = packed.mapInPandas(lean(run), "place int, value long").groupBy("place").agg(F.sum("value").alias("value")).orderBy("place")
+    values = total.toPandas()["value"].to_numpy(dtype=np.float64) / (_UNIT * n_parts)
+    out, at = replace(net), 0
+    for k in _LEARNED:
+        shape = np.shape(getattr(net, k))
+        n = int(np.prod(shape))
+        setattr(out, k, values[at : at + n].reshape(shape).astype(np.float32) if shape else float(values[at]))
+        at += n
+    return out
+
+
+def written_anew(codes: np.ndarray, labels: np.ndarray, seed: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The examples (with ``own``: only those), and for each secret of them two more between the surroundings of plain runs.
 
     One is a secret as long as it, in characters drawn from another alphabet and now and then behind a
     short prefix; the other is plain: pieces of plain runs, numbers and dates, joined by marks.
@@ -259,7 +378,11 @@ def written_anew(codes: np.ndarray, labels: np.ndarray, seed: int) -> tuple[np.n
     rng = np.random.default_rng(seed)
     plain = codes[labels == 0]
     plain_inner = plain[:, AROUND : AROUND + WIDTH]
+    if own is not None:
+        codes, labels = codes[own], labels[own]
     secrets = codes[labels == 1]
+    if not len(plain) or not len(secrets):
+        return codes, labels
     new = plain[rng.integers(0, len(plain), 2 * len(secrets))].copy()
     inner = new[:, AROUND : AROUND + WIDTH]
     inner[:] = 0
@@ -291,17 +414,22 @@ def written_anew(codes: np.ndarray, labels: np.ndarray, seed: int) -> tuple[np.n
     return np.concatenate([codes, new]), np.concatenate([labels, np.repeat([1, 0], len(secrets))])
 
 
-def _found_by(net: Network, text: str, block: int = 4096) -> set[tuple[int, int]]:
-    """Candidates of a whole text at or above the threshold."""
-    runs = candidates(text)
-    if not runs:
-        return set()
+def _pieces(text: str, runs: list[tuple[int, int]], block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For the runs' pieces, some at a time: which run each is of, and its classes."""
     owners = np.repeat(np.arange(len(runs)), [-(-(b - a) // WIDTH) for a, b in runs])
     starts = np.concatenate([np.arange(a, b, WIDTH) for a, b in runs])
     ends = np.minimum(starts + WIDTH, np.array([b for _, b in runs])[owners])
     padded = np.concatenate([np.zeros(AROUND, np.uint8), classes(text), np.zeros(_LENGTH, np.uint8)])
-    hits = [net.probability(encode_at(padded, starts[i : i + block], ends[i : i + block])) >= net.threshold for i in range(0, len(starts), block)]
-    return {runs[k] for k in set(owners[np.concatenate(hits)].tolist())}
+    for i in range(0, len(starts), block):
+        yield owners[i : i + block], encode_at(padded, starts[i : i + block], ends[i : i + block])
+
+
+def _found_by(net: Network, text: str) -> set[tuple[int, int]]:
+    """Candidates of a whole text at or above the threshold."""
+    runs = candidates(text)
+    if not runs:
+        return set()
+    return {runs[k] for owners, codes in _pieces(text, runs) for k in owners[net.probability(codes) >= net.threshold].tolist()}
 
 
 def _spans(texts: list[str | None], net: Network | None) -> list[list[tuple[int, int, str]]]:
