@@ -209,6 +209,28 @@ def test_fingerprints(spark, store):
     assert one == other and one.files == 3 and one.input_sha256 != fewer.input_sha256
 
 
+def test_large_files_are_hashed_split_by_split(spark, tmp_path):
+    import hashlib
+    import os
+
+    from answerframe.sources import fingerprint as module
+
+    block = os.urandom(module.PIECE)
+    names = {"a[1], {b} c.bin": (75 << 20) + 17, "even.bin": 64 << 20, "d.gz": 3000, "small": 5}
+    for name, size in names.items():
+        with open(tmp_path / name, "wb") as file:
+            for i in range(0, size, len(block)):
+                file.write((i.to_bytes(8, "big") + block)[: min(len(block), size - i)])
+    # Spark passes on no more than a split of a larger file at once, so this bound would have failed on the whole.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 60 << 20)
+    try:
+        got = {r.source_file.split("/")[-1]: (r.bytes, r.sha256) for r in fingerprint(spark, str(tmp_path), whole=2000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {n: (size, hashlib.sha256((tmp_path / n).read_bytes()).hexdigest()) for n, size in names.items()}
+    assert dataset_fingerprint(fingerprint(spark, str(tmp_path), whole=2000)).first() == dataset_fingerprint(fingerprint(spark, str(tmp_path))).first()
+
+
 def test_report_is_one_file_and_is_replaced(spark, tmp_path):
     for value in ("Tiếng Việt", "again"):
         write_report(spark.createDataFrame([(value,)], "v string"), str(tmp_path / "deep/er/report"))
